@@ -157,7 +157,8 @@ named AS (
 dim_products AS (
   SELECT row_number() OVER (ORDER BY stock_code COLLATE "C") AS product_id, stock_code, description,
          CAST(NULL AS VARCHAR) AS category, avg_unit_price
-  FROM named JOIN (SELECT stock_code, {ratio('sum(price)', 'count(price)')} AS avg_unit_price
+  FROM named JOIN (SELECT stock_code, (2 * CAST(sum(price) * 100 AS HUGEINT) + count(price))
+                          // (2 * count(price)) / 1e2 AS avg_unit_price
                    FROM cleaned WHERE NOT is_return GROUP BY 1) USING (stock_code)),
 regions AS (
   SELECT unnest({list(COUNTRY_REGION)!r}) AS country, unnest({list(COUNTRY_REGION.values())!r}) AS region),
@@ -634,7 +635,7 @@ LEFT JOIN (SELECT * FROM names WHERE cluster_id <> 3) n ON s.cluster_id = n.clus
 
 # ---- churn features and metrics ---------------------------------------------------------------
 
-_MID = "first_purchase + (last_purchase - first_purchase) // 2"
+_MID = "first_purchase + CAST((last_purchase - first_purchase) // 2 AS INTEGER)"
 FEATURES = f"""
 model_rows AS (
   SELECT d.customer_id,
@@ -708,7 +709,7 @@ _SPREAD = " UNION ALL ".join(
 ORACLES["top_features"] = modelled(f"""
 SELECT feature, {rounded('importance', 4)} AS importance,
        array_to_string(list_transform(string_split(replace(feature, '_enc', ''), '_'),
-         w -> upper(w[1]) || substr(w, 2)), ' ') AS display_name
+         lambda w: upper(w[1]) || substr(w, 2)), ' ') AS display_name
 FROM ({_SPREAD}) ORDER BY importance DESC, feature LIMIT 5""")
 
 SCORED = f"""
@@ -820,9 +821,9 @@ trended AS (
          CASE WHEN count(exact) OVER near = 11 THEN CAST(2 * sum(exact) OVER near
            + lag(exact, 6) OVER o + lead(exact, 6) OVER o AS DOUBLE) / 24e0 END AS trend
   FROM grid WHERE series_key <> 'all'
-  QUALIFY count(exact) OVER (PARTITION BY series_key) >= 24
   WINDOW o AS (PARTITION BY series_key ORDER BY month),
-         near AS (PARTITION BY series_key ORDER BY month ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+         near AS (PARTITION BY series_key ORDER BY month ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)
+  QUALIFY count(exact) OVER (PARTITION BY series_key) >= 24),
 phases AS (
   SELECT series_key, month(month) AS phase, avg(observed - trend) AS phase_mean FROM trended GROUP BY 1, 2),
 levels AS (SELECT series_key, avg(phase_mean) AS level FROM phases GROUP BY 1),
@@ -844,25 +845,25 @@ FROM parts p JOIN (SELECT series_key, quantile_cont(residual, 0.25) AS q1,
     DECOMPOSED)
 ORACLES["walk_forward_folds"] = timed("""
 SELECT series_key, CAST(fold AS INTEGER) AS fold, month, CAST(exact AS DOUBLE) AS value,
-       at = n - 6 + fold AS is_test
-FROM (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY month) - 1 AS at,
+       pos = n - 6 + fold AS is_test
+FROM (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY month) - 1 AS pos,
              count(*) OVER (PARTITION BY series_key) AS n FROM grid WHERE series_key <> 'all'),
      (SELECT unnest(generate_series(0, 5)) AS fold)
-WHERE at <= n - 6 + fold AND n - 6 + fold > 0""")
+WHERE pos <= n - 6 + fold AND n - 6 + fold > 0""")
 BASELINES = f"""
 steps AS (
   SELECT series_key, month, CAST(exact AS DOUBLE) AS actual,
-         row_number() OVER o - 1 AS at, count(*) OVER (PARTITION BY series_key) AS n,
+         row_number() OVER o - 1 AS pos, count(*) OVER (PARTITION BY series_key) AS n,
          CAST(lag(exact) OVER o AS DOUBLE) AS naive, CAST(lag(exact, 12) OVER o AS DOUBLE) AS seasonal_naive,
          CAST(first(exact) OVER o AS DOUBLE) AS first_value
   FROM grid WHERE series_key <> 'all' WINDOW o AS (PARTITION BY series_key ORDER BY month)),
 guesses AS (
-  SELECT series_key, 'naive' AS model, actual, naive AS predicted FROM steps WHERE at >= n - 6 AND at > 0
+  SELECT series_key, 'naive' AS model, actual, naive AS predicted FROM steps WHERE pos >= n - 6 AND pos > 0
   UNION ALL SELECT series_key, 'seasonal_naive', actual, seasonal_naive FROM steps
-    WHERE at >= n - 6 AND at > 0
+    WHERE pos >= n - 6 AND pos > 0
   UNION ALL SELECT series_key, 'drift', actual,
-    naive + coalesce((naive - first_value) / nullif(CAST(at - 1 AS DOUBLE), 0), 0) FROM steps
-    WHERE at >= n - 6 AND at > 0),
+    naive + coalesce((naive - first_value) / nullif(CAST(pos - 1 AS DOUBLE), 0), 0) FROM steps
+    WHERE pos >= n - 6 AND pos > 0),
 baseline_scores AS (
   SELECT series_key, model, {rounded('(avg(abs(predicted - actual) / nullif(abs(actual), 0)) * 1e2)')} AS mape,
          {rounded('sqrt(avg((predicted - actual) * (predicted - actual)))')} AS rmse

@@ -35,7 +35,7 @@ from tillpath.operators import (
     welch,
 )
 from tillpath.schemas import Star
-from tillpath.session import cut, shared_folder, stage
+from tillpath.session import cut, shared_folder
 from tillpath.sources import feeds, reports, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,8 +180,7 @@ def _kept(spark, folder):
 
 
 def _lines(spark, folder):
-    """Cleaned lines, staged: several tables are built from them."""
-    return stage(cleaning.clean_transactions(_raw(spark, folder)).lines, "cleaned-lines")
+    return cleaning.clean_transactions(_raw(spark, folder)).lines
 
 
 @query

@@ -25,8 +25,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines with their orders. Both grow with the data, so neither side is broadcast."""
     lines = table(spark, folder, "lineitem").join(
-        table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
+        table(spark, folder, "orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     order = F.col("l_orderkey").cast("string")
     return lines.withColumn("is_return", F.col("l_returnflag") == "R").withColumn(
@@ -67,7 +68,7 @@ def fact(spark: SparkSession, folder: str) -> DataFrame:
 def customers(spark: SparkSession, folder: str) -> DataFrame:
     """Customers with at least one line."""
     sold = table(spark, folder, "orders").join(
-        table(spark, folder, "lineitem").select("l_orderkey"),
+        table(spark, folder, "lineitem").select("l_orderkey").hint("merge"),
         F.col("o_orderkey") == F.col("l_orderkey"),
         "left_semi",
     )

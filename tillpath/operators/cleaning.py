@@ -13,7 +13,7 @@ from tillpath.fixed_values import RAW_TO_CLEAN
 from tillpath.functions.numeric import percent
 from tillpath.functions.text import is_return_invoice, is_service_code, strip_text
 from tillpath.operators.ranking import exact_quantiles
-from tillpath.session import stage
+from tillpath.session import cut, stage
 
 _FIELDS = list(RAW_TO_CLEAN.values())
 
@@ -199,7 +199,7 @@ def clean_transactions(
     )
     flagged = stage(flag_rejects(flag_returns(distinct_lines), settings), "distinct-lines")
     kept = flagged.where(F.col("rejected_by").isNull())
-    bounds = quantity_bounds(kept, settings)
+    bounds = cut(quantity_bounds(kept, settings))
     columns = [*_FIELDS, "is_return", "total_amount", *extra]
     return Cleaned(
         lines=finish(kept, bounds).select(*columns),

@@ -50,14 +50,17 @@ def series_by_country(fact: DataFrame, dates: DataFrame, customers: DataFrame) -
 def drop_truncated_month(series: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Drop a series' last month if it is under half the mean of its other months."""
     whole = Window.partitionBy("series_key")
-    is_last = F.col("month") == F.max("month").over(whole)
-    marked = series.withColumn("_is_last", is_last)
+    marked = series.withColumn("_is_last", F.col("month") == F.max("month").over(whole))
     others = F.when(~F.col("_is_last"), F.col("value"))
     mean = F.try_divide(
         F.sum(others).over(whole).cast("double"), F.count(others).over(whole).cast("double")
     )
-    low = F.col("value").cast("double") < mean * settings.truncated_below
-    return marked.where(~F.coalesce(F.col("_is_last") & low, F.lit(False))).drop("_is_last")
+    low = F.col("value").cast("double") < F.col("_mean") * settings.truncated_below
+    return (
+        marked.withColumn("_mean", mean)
+        .where(~F.coalesce(F.col("_is_last") & low, F.lit(False)))
+        .drop("_is_last", "_mean")
+    )
 
 
 def regular_grid(series: DataFrame) -> DataFrame:

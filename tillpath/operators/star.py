@@ -56,7 +56,8 @@ def dim_products(lines: DataFrame, *, partitions: int | None = None) -> DataFram
     codes = spellings.groupBy("stock_code").agg(
         best.alias("best"), F.sum("price_sum").alias("price_sum"), F.sum("price_n").alias("price_n")
     )
-    mean = F.try_divide(F.col("price_sum"), F.col("price_n")).cast("decimal(10,2)")
+    total = F.col("price_sum").cast("decimal(22,2)")
+    mean = F.try_divide(total, F.col("price_n")).cast("decimal(10,2)")
     products = codes.select(
         "stock_code",
         F.col("best.description").alias("description"),

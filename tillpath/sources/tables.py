@@ -38,25 +38,19 @@ def full_refresh(df: DataFrame, path: str, partition_by: list[str] | None = None
 def write_fact(fact: DataFrame, dates: DataFrame, path: str) -> int:
     """Write the fact by year and month.
 
-    Rows are brought together by month before writing, with a few hash ranges per month so that
-    one busy month is written by several tasks and still makes few files.
+    Rows are brought together by month before writing. Rebalancing lets adaptive execution split a
+    busy month over several tasks and put quiet ones together, so files are of even size.
     """
     calendar = dates.select("date_id", *_PARTITION)
     dated = fact.join(F.broadcast(calendar), "date_id").select(*schemas.FACT.names, *_PARTITION)
-    spread = dated.repartition(*_PARTITION, F.pmod(F.xxhash64("transaction_id"), F.lit(8)))
-    return full_refresh(spread, path, _PARTITION)
-
-
-def write_star(star: Star, root: str) -> dict[str, int]:
-    """Dimensions first, then the fact, reading the dimensions back from where they were written."""
-    spark = star.fact.sparkSession
-    loaded = {
-        name: full_refresh(getattr(star, name.removeprefix("dim_")), os.path.join(root, name))
-        for name in TABLES
-    }
-    dates = spark.read.schema(schemas.DIM_DATES).parquet(os.path.join(root, "dim_dates"))
-    loaded["fact_transactions"] = write_fact(star.fact, dates, os.path.join(root, "fact_transactions"))
-    return loaded
+    return full_refresh(dated.hint("rebalance", *_PARTITION), path, _PARTITION)
+
+
+def write_dimension(df: DataFrame, root: str, name: str) -> tuple[DataFrame, int]:
+    """Write one dimension; the stored table and its rows."""
+    path = os.path.join(root, name)
+    rows = full_refresh(df.select(*TABLES[name].names), path)
+    return df.sparkSession.read.schema(TABLES[name]).parquet(path), rows
 
 
 def read_star(spark: SparkSession, root: str) -> Star:
