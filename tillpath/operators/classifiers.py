@@ -53,7 +53,7 @@ def prepare(features: DataFrame, settings: Settings = DEFAULTS) -> TrainingData:
     return TrainingData(stage(labelled, "training"), encoder)
 
 
-def _classifier(name: str, n_train: int, settings: Settings):
+def _classifier(name: str, n_train: int, settings: Settings, rounds: int):
     columns = {"featuresCol": "features", "labelCol": "label", "seed": settings.seed}
     if name == "logistic_regression":
         # MLlib averages the loss over rows, so a penalty of 1 on the sum is 1/n here.
@@ -63,23 +63,25 @@ def _classifier(name: str, n_train: int, settings: Settings):
         )
     if name == "random_forest":
         return RandomForestClassifier(
-            numTrees=200, maxDepth=10, minInstancesPerNode=20, **columns
+            numTrees=rounds, maxDepth=10, minInstancesPerNode=20, **columns
         )
     if name == "boosted_trees":
         return GBTClassifier(
-            maxIter=200, maxDepth=6, stepSize=0.1, minInstancesPerNode=20, **columns
+            maxIter=rounds, maxDepth=6, stepSize=0.1, minInstancesPerNode=20, **columns
         )
     raise ValueError(f"unknown model {name!r}")
 
 
-def fit_model(name: str, data: TrainingData, settings: Settings = DEFAULTS) -> PipelineModel:
-    """Assemble, scale on the training rows, fit."""
+def fit_model(
+    name: str, data: TrainingData, settings: Settings = DEFAULTS, *, rounds: int = 200
+) -> PipelineModel:
+    """Assemble, scale on the training rows, fit. `rounds` is the number of trees."""
     train = data.train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return Pipeline(stages=[
             VectorAssembler(inputCols=INPUTS, outputCol="raw_features"),
             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True),
-            _classifier(name, train.count(), settings),
+            _classifier(name, train.count(), settings, rounds),
         ]).fit(train)
     finally:
         train.unpersist()

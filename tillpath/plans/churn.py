@@ -32,12 +32,13 @@ def run_churn(
     settings: Settings = DEFAULTS,
     *,
     models: tuple[str, ...] = classifiers.MODELS,
+    rounds: int = 200,
 ) -> ChurnResult:
     """`table` is the customer feature table of the segmentation job."""
     spark = star.fact.sparkSession
     features = cut(churn_features(star.fact, star.dates, star.customers, table, settings))
     data = classifiers.prepare(features, settings)
-    fitted = {name: classifiers.fit_model(name, data, settings) for name in models}
+    fitted = {name: classifiers.fit_model(name, data, settings, rounds=rounds) for name in models}
     predictions = cut(reduce(
         DataFrame.unionByName,
         [classifiers.predict(name, model, data.test) for name, model in fitted.items()],
