@@ -589,7 +589,7 @@ def kmeans_sweep(spark, folder):
 
 @query
 def kmeans_best_k(spark, folder):
-    return segments.best_k(segments.kmeans_sweep(cut(_values(spark, folder)), restarts=2))
+    return segments.best_k(segments.kmeans_sweep(cut(_values(spark, folder))))
 
 
 @query

@@ -109,7 +109,8 @@ def test_empty_input(spark):
     empty = spark.createDataFrame([], "id long, v decimal(12,2)")
     assert ranking.dense_key(empty, ["id"], "k").count() == 0
     assert ranking.concentration(empty, "v", ["id"]).count() == 0
-    assert ranking.exact_quantiles(empty, "v", {"m": 0.5}).count() == 0
+    # A global aggregate has its row on empty input, too, as in SQL.
+    assert ranking.exact_quantiles(empty, "v", {"m": 0.5}).first()["m"] is None
 
 
 @pytest.mark.parametrize("n", [1, 3, 4, 5, 6, 12, 13, 99, 100])

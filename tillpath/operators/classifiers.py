@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import Model, Pipeline, PipelineModel
@@ -20,7 +22,7 @@ from tillpath.config import DEFAULTS, Settings
 from tillpath.fixed_values import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from tillpath.functions.numeric import half_up, risk_tier
 from tillpath.operators.features import fit_encoder, impute, stratified_split
-from tillpath.session import stage
+from tillpath.session import shared_folder, stage
 
 INPUTS = [*NUMERIC_FEATURES, *[f"{c}_enc" for c in CATEGORICAL_FEATURES]]
 MODELS = ("logistic_regression", "random_forest", "boosted_trees")
@@ -75,16 +77,24 @@ def _classifier(name: str, n_train: int, settings: Settings, rounds: int):
 def fit_model(
     name: str, data: TrainingData, settings: Settings = DEFAULTS, *, rounds: int = 200
 ) -> PipelineModel:
-    """Assemble, scale on the training rows, fit. `rounds` is the number of trees."""
+    """Assemble, scale on the training rows, fit. `rounds` is the number of trees.
+
+    The fitted pipeline is saved to the shared folder and loaded again. Scoring then depends on the
+    stored model only: a fresh fit also carries its training summary, which holds on to the session
+    and stops the model from being sent to executors once the session has observed a metric.
+    """
     train = data.train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=[
+        fitted = Pipeline(stages=[
             VectorAssembler(inputCols=INPUTS, outputCol="raw_features"),
             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True),
             _classifier(name, train.count(), settings, rounds),
         ]).fit(train)
     finally:
         train.unpersist()
+    path = os.path.join(shared_folder(data.rows.sparkSession), f"model-{uuid.uuid4().hex}")
+    fitted.write().save(path)
+    return PipelineModel.load(path)
 
 
 def predict(name: str, model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -99,12 +99,13 @@ def kmeans_sweep(
     ks: range = range(2, 11),
     settings: Settings = DEFAULTS,
     *,
-    restarts: int = 10,
+    restarts: int = 2,
 ) -> DataFrame:
     """(k, inertia, silhouette) per number of clusters.
 
     The loop runs over models, each fit and each evaluation is a distributed job over the cached
-    vectors. The silhouette uses squared distances, which needs one pass instead of all pairs.
+    vectors. Starting centres are drawn over the whole data, so the sweep makes do with fewer restarts
+    than the final fit. The silhouette uses squared distances, which needs one pass instead of all pairs.
     """
     vectors = _vectors(rfm_features(scores)).select("features")
     vectors.persist(StorageLevel.MEMORY_AND_DISK)

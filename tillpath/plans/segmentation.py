@@ -32,7 +32,7 @@ def run_segmentation(
 ) -> Segmentation:
     """Score, cluster, profile, name, merge into `table` (a new one if none is given)."""
     scores = cut(rfm_scores(star.fact, star.dates, settings))
-    tried = segments.kmeans_sweep(scores, settings=settings, restarts=restarts) if sweep else None
+    tried = segments.kmeans_sweep(scores, settings=settings) if sweep else None
     fitted = segments.kmeans_fit(scores, settings=settings, restarts=restarts)
     clustered = cut(fitted.predict(scores))
     named = segments.segment_names(segments.segment_profiles(clustered))
