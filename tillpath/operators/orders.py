@@ -15,8 +15,11 @@ MONEY = "decimal(22,2)"
 
 
 def with_calendar(fact: DataFrame, dates: DataFrame, *columns: str) -> DataFrame:
-    """Add calendar columns. The calendar has one row per day, hence the broadcast."""
-    return fact.join(F.broadcast(dates.select("date_id", *columns)), "date_id")
+    """Add calendar columns. The calendar has one row per day, hence the broadcast.
+
+    A stored fact already has `year` and `month` from its folders; the calendar's take their place.
+    """
+    return fact.drop(*columns).join(F.broadcast(dates.select("date_id", *columns)), "date_id")
 
 
 def sales(fact: DataFrame) -> DataFrame:

@@ -42,7 +42,8 @@ def write_fact(fact: DataFrame, dates: DataFrame, path: str) -> int:
     busy month over several tasks and put quiet ones together, so files are of even size.
     """
     calendar = dates.select("date_id", *_PARTITION)
-    dated = fact.join(F.broadcast(calendar), "date_id").select(*schemas.FACT.names, *_PARTITION)
+    lines = fact.select(*schemas.FACT.names)
+    dated = lines.join(F.broadcast(calendar), "date_id").select(*schemas.FACT.names, *_PARTITION)
     return full_refresh(dated.hint("rebalance", *_PARTITION), path, _PARTITION)
 
 
