@@ -744,7 +744,7 @@ def top_features(spark, folder):
 def score_all(spark, folder):
     customers_in = _features(spark, folder)
     data, model = _trained(spark, folder, "logistic_regression")
-    return classifiers.score_all(customers_in, "logistic_regression", model, data.encoder)
+    return classifiers.score_all(customers_in, model, data.encoder)
 
 
 def _scored(spark, folder):

@@ -122,7 +122,7 @@ def test_models_find_the_planted_signal(spark, planted, name, tmp_path):
     importance = classifiers.feature_importance(model, spark).collect()
     assert importance[0]["feature"] in ("frequency", "purchase_trend")
     assert [r["importance"] for r in importance] == sorted((r["importance"] for r in importance), reverse=True)
-    everyone = classifiers.score_all(planted, name, model, data.encoder)
+    everyone = classifiers.score_all(planted, model, data.encoder)
     assert everyone.count() == 600
     assert everyone.where("churn_probability NOT BETWEEN 0 AND 1").count() == 0
 

@@ -11,6 +11,7 @@ from tests.conftest import rows
 from tillpath import schemas
 from tillpath.fixed_values import RAW_TO_CLEAN
 from tillpath.operators import serving
+from tillpath.plans.churn import run_churn
 from tillpath.plans.etl import run_etl_from_files
 from tillpath.plans.forecast import run_forecast
 from tillpath.plans.report import build_report, write_report
@@ -122,6 +123,12 @@ def test_jobs_from_files_to_forecast(spark, tmp_path):
     assert segmented.feature_table.count() == 30
     assert segmented.feature_table.where("segment_name IS NULL OR churn_label").count() == 0
 
+    churn = run_churn(star, segmented.feature_table, models=("logistic_regression",))
+    assert churn.best == "logistic_regression" and churn.scores.count() == 30
+    table = churn.feature_table
+    assert table.where("churn_probability IS NULL OR product_diversity IS NULL").count() == 0
+    assert churn.threshold.count() == 1
+
     forecast = run_forecast(monthly_series(star.fact, star.dates))
     assert forecast.best.count() == 1
     assert forecast.forecast.where("error IS NULL").count() == 6

@@ -122,18 +122,15 @@ def feature_importance(model: PipelineModel, spark) -> DataFrame:
 
 
 def score_all(
-    features: DataFrame, name: str, model: PipelineModel, encoder: Model,
-    settings: Settings = DEFAULTS,
+    features: DataFrame, model: PipelineModel, encoder: Model, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Score every customer. The observed and the predicted label stay apart."""
-    encoded = encoder.transform(impute(features))
-    scores = predict(name, model, encoded).select("customer_id", "score")
-    return features.select("customer_id", F.col("churn_label").alias("churn_observed")).join(
-        scores, "customer_id"
-    ).select(
+    """Score every customer in one map-side pass. Observed and predicted label stay apart."""
+    scored = model.transform(encoder.transform(impute(features)))
+    score = vector_to_array("probability")[1]
+    return scored.select(
         "customer_id",
-        half_up(F.col("score"), 4).alias("churn_probability"),
-        "churn_observed",
-        (F.col("score") >= 0.5).alias("churn_predicted"),
-        risk_tier(F.col("score"), settings).alias("risk_tier"),
+        half_up(score, 4).alias("churn_probability"),
+        F.col("churn_label").alias("churn_observed"),
+        (score >= 0.5).alias("churn_predicted"),
+        risk_tier(score, settings).alias("risk_tier"),
     )

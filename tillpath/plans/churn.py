@@ -45,7 +45,7 @@ def run_churn(
     ))
     comparison = cut(metrics.evaluate_models(predictions))
     best = metrics.best_model(comparison).first()["model"]
-    scores = classifiers.score_all(features, best, fitted[best], data.encoder, settings)
+    scores = classifiers.score_all(features, fitted[best], data.encoder, settings)
     filled = fill_features(table, features, product_diversity(star.fact))
     return ChurnResult(
         best=best,
