@@ -858,7 +858,7 @@ QUERIES["trend_seasonal"] = _walk(forecasting.TREND)
 
 @query
 def forecast(spark, folder):
-    """Next months of every country by its best baseline-validated model."""
+    """Next months of every country by its best model over the folds."""
     grid = cut(_country_grid(spark, folder))
     scores = series.forecast_scores(forecasting.walk_forward(grid))
     return forecasting.forecast(grid, series.best_forecaster(scores))
