@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import day, rows
+from tests.conftest import day
 from tillpath import schemas
 from tillpath.fixed_values import AGE_SHARES, CHANNEL_SHARES, COUNTRY_REGION
 from tillpath.operators import star, validation
