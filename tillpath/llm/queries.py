@@ -13,10 +13,16 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(read_table(spark, folder, "documents"))
 
 
+def op7_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    from tillpath.llm.secrets import scan
+
+    return scan(read_table(spark, folder, "documents"))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     from tillpath.llm.sharding import shard
 
     return shard(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op5_exact_dedup, op7_secret_scans, op10_sharding)}
