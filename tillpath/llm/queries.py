@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tillpath.llm.common import read_table
 
 
+def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tillpath.llm.simhash import near_dedup
+
+    return near_dedup(read_table(spark, folder, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from tillpath.llm.exact_dedup import exact_dedup
 
@@ -25,4 +31,4 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op7_secret_scans, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op5_exact_dedup, op7_secret_scans, op10_sharding)}
