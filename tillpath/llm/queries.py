@@ -13,6 +13,22 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup(read_table(spark, folder, "documents"))
 
 
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    from tillpath.llm.bpe import digests, encode
+
+    return digests(encode(read_table(spark, folder, "documents")))
+
+
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every document before and after the stated revision of its text."""
+    from tillpath.llm.token_counts import apply_edits, build_trees, revision_of
+
+    trees = build_trees(read_table(spark, folder, "documents"))
+    return apply_edits(trees.withColumn("edits", revision_of())).select(
+        "doc_id", "n_tokens_before", "n_edits", "n_tokens", "n_encoded_chars"
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from tillpath.llm.exact_dedup import exact_dedup
 
@@ -31,4 +47,4 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op5_exact_dedup, op7_secret_scans, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe, op3_token_counts, op5_exact_dedup, op7_secret_scans, op10_sharding)}
