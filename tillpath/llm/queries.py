@@ -41,10 +41,16 @@ def op7_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return scan(read_table(spark, folder, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from tillpath.llm.packing import pack
+
+    return pack(read_table(spark, folder, "documents"))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     from tillpath.llm.sharding import shard
 
     return shard(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe, op3_token_counts, op5_exact_dedup, op7_secret_scans, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe, op3_token_counts, op5_exact_dedup, op7_secret_scans, op8_best_fit_packing, op10_sharding)}
