@@ -35,6 +35,14 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(read_table(spark, folder, "documents"))
 
 
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    from tillpath.llm.token_files import read_index, scratch_folder, write
+
+    files = scratch_folder(spark)
+    write(read_table(spark, folder, "documents"), files)
+    return read_index(spark, files)
+
+
 def op7_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     from tillpath.llm.secrets import scan
 
@@ -53,4 +61,4 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe, op3_token_counts, op5_exact_dedup, op7_secret_scans, op8_best_fit_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe, op3_token_counts, op5_exact_dedup, op6_token_files, op7_secret_scans, op8_best_fit_packing, op10_sharding)}

@@ -33,9 +33,12 @@ ASSIGN_VALUE, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 # The order of kinds at one start.
 KINDS = ("assign", "access", "hex", "live")
 
-# Candidates of the method.
-TOKEN = r"[A-Za-z0-9_+-]+"
-TOKEN_CHARS = 20
+# Candidates of the method: whole tokens of 20 characters or more with a digit and letters of both
+# cases. The conditions are part of the pattern, so that ordinary long words are no matches.
+TOKEN = (
+    r"(?<![A-Za-z0-9_+-])(?=[A-Za-z_+-]*+[0-9])(?=[A-Z0-9_+-]*+[a-z])(?=[a-z0-9_+-]*+[A-Z])"
+    r"[A-Za-z0-9_+-]{20,}"
+)
 # From this many owners on a value is a copied example.
 EXAMPLE_OWNERS = 3
 
@@ -96,7 +99,7 @@ def _joined(spans: Column) -> Column:
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """Per row: `_row`, doc_id, source, the base spans and the candidate spans beside them."""
+    """Per row: `_row`, doc_id, source, the spans of each base pattern and the candidate tokens."""
     texts = docs.select(
         "doc_id",
         F.col("source") if "source" in docs.columns else F.lit(None).cast("string").alias("source"),
@@ -112,20 +115,19 @@ def findings(docs: DataFrame) -> DataFrame:
     )
     access = F.filter(_spans("_text", ACCESS, 1), lambda s: s["end"] - s["start"] >= ACCESS_CHARS)
     runs = F.filter(_spans("_text", HEX, 2), lambda s: s["end"] - s["start"] >= HEX_CHARS)
-    tokens = F.filter(
-        _spans("_text", TOKEN, 3),
-        lambda s: (s["end"] - s["start"] >= TOKEN_CHARS)
-        & s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]"),
-    )
-    base = texts.select(
+    tokens = _spans("_text", TOKEN, 3)
+    return texts.select(
         "_row", "doc_id", "source",
         F.when(worded, assign).otherwise(_none()).alias("assign"),
         F.when(F.contains("_text", F.lit("AKIA")), access).otherwise(_none()).alias("access"),
         F.when(F.col("_text").rlike(f"[0-9a-f]{{{HEX_CHARS}}}"), runs).otherwise(_none()).alias("hex"),
-        F.when(F.col("_text").rlike(f"[A-Za-z0-9_+-]{{{TOKEN_CHARS}}}"), tokens).otherwise(_none()).alias("tokens"),
+        F.when(F.col("_text").rlike(TOKEN), tokens).otherwise(_none()).alias("tokens"),
     )
-    base = base.withColumn("base", F.concat("assign", "access", "hex"))
-    return base.withColumn(
+
+
+def _apart(found: DataFrame) -> DataFrame:
+    """Adds `base`, all base spans, and leaves the tokens that overlap none of them."""
+    return found.withColumn("base", F.concat("assign", "access", "hex")).withColumn(
         "tokens",
         F.filter(
             "tokens",
@@ -153,7 +155,8 @@ def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     `n_live` counts the added spans, `n_example` the findings whose value at least
     `example_owners` owners show.
     """
-    found = stage(findings(docs), "secret-findings")
+    # Stored before anything is derived from it: each pattern runs once per text.
+    found = _apart(stage(findings(docs), "secret-findings"))
     holders = ownership(found)
     each = found.where(F.size("base") + F.size("tokens") > 0).select(
         "_row", F.explode(F.concat("base", "tokens")).alias("s")
