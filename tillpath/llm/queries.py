@@ -29,6 +29,12 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from tillpath.llm.positive_unlabelled import classify
+
+    return classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from tillpath.llm.exact_dedup import exact_dedup
 
@@ -55,10 +61,16 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(read_table(spark, folder, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from tillpath.llm.quality_rules import quality_rules
+
+    return quality_rules(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     from tillpath.llm.sharding import shard
 
     return shard(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe, op3_token_counts, op5_exact_dedup, op6_token_files, op7_secret_scans, op8_best_fit_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe, op3_token_counts, op4_quality_classifier, op5_exact_dedup, op6_token_files, op7_secret_scans, op8_best_fit_packing, op9_quality_rules, op10_sharding)}
