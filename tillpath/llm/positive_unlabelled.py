@@ -6,8 +6,8 @@ non-negative unbiased risk
 
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
 
-in mini-batches with the logistic loss; where the second term falls below zero its own gradient is
-climbed instead. The class prior is estimated first: a plain classifier of positives against
+with the logistic loss; where the second term falls below zero its own gradient is climbed instead.
+The score is one half where the same risk with the zero-one loss is least. The class prior is estimated first: a plain classifier of positives against
 unlabelled texts ranks both, and the least ratio of unlabelled to positive texts above a threshold,
 with a margin for the sample size, bounds the share of positives among the unlabelled.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tillpath.llm.common import text_of
 from tillpath.llm.text_features import SAMPLE_ROWS, SIZE, Adam, sample, scaled, squash, vector
 
-EPOCHS, BATCH, RATE, DECAY = 60, 256, 0.1, 1e-5
+STEPS, RATE, DECAY = 300, 0.1, 1e-3
 SEED = 17
 
 
@@ -39,6 +39,10 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
 
+def _weighed(x: np.ndarray) -> np.ndarray:
+    return scaled(x) * np.float32(3)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -46,7 +50,7 @@ class Model:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return squash(scaled(x) @ self.weights + self.bias)
+        return squash(_weighed(x) @ self.weights + self.bias)
 
 
 def _plain_fit(x: np.ndarray, y: np.ndarray, rounds: int = 150) -> np.ndarray:
@@ -82,34 +86,32 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     """The model of two samples of raw vectors."""
     if len(positive) == 0 or len(unlabelled) == 0:
         return Model(np.zeros(SIZE, np.float32), 0.0, 0.5)
-    p, u = scaled(positive), scaled(unlabelled)
+    p, u = _weighed(positive), _weighed(unlabelled)
     if prior is None:
         scores = _plain_fit(np.concatenate([p, u]), np.concatenate([np.ones(len(p)), np.zeros(len(u))]))
         prior = estimate_prior(scores[: len(p)], scores[len(p) :])
-    rng = np.random.default_rng(SEED)
-    w, bias, adam = np.zeros(SIZE + 1), 0.0, Adam(SIZE + 1, RATE)
-    batches = max(1, -(-(len(p) + len(u)) // (2 * BATCH)))
-    for epoch in range(EPOCHS):
-        adam.rate = RATE * (1 - epoch / EPOCHS) + 1e-4
-        p_parts, u_parts = np.array_split(rng.permutation(len(p)), batches), np.array_split(rng.permutation(len(u)), batches)
-        for a, b in zip(p_parts, u_parts):
-            if not len(a) or not len(b):
-                continue
-            xp, xu = p[a], u[b]
-            v, bias = w[:-1].astype(np.float32), w[-1]
-            zp, zu = xp @ v + bias, xu @ v + bias
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            # Slopes of the three means: loss(+) on positives, loss(-) on positives and unlabelled.
-            gp, gn, gu = (squash(zp) - 1) / len(a), squash(zp) / len(a), squash(zu) / len(b)
-            if negative >= 0:
-                on_p, on_u = prior * (gp - gn), gu
-            else:
-                on_p, on_u = prior * gn, -gu
-            slope = np.empty(SIZE + 1)
-            slope[:-1] = xp.T @ on_p.astype(np.float32) + xu.T @ on_u.astype(np.float32) + DECAY * w[:-1]
-            slope[-1] = on_p.sum() + on_u.sum()
-            adam.step(w, slope)
-    return Model(w[:-1].astype(np.float32), float(w[-1]), prior)
+    w, adam = np.zeros(SIZE + 1), Adam(SIZE + 1, RATE)
+    for step in range(STEPS):
+        adam.rate = RATE * (1 - step / STEPS) + 1e-4
+        v = w[:-1].astype(np.float32)
+        zp, zu = p @ v + w[-1], u @ v + w[-1]
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        # Slopes of the three means: loss(+) on positives, loss(-) on positives and unlabelled.
+        gp, gn, gu = (squash(zp) - 1) / len(p), squash(zp) / len(p), squash(zu) / len(u)
+        on_p, on_u = (prior * (gp - gn), gu) if negative >= 0 else (prior * gn, -gu)
+        slope = p.T @ on_p.astype(np.float32) + u.T @ on_u.astype(np.float32) + DECAY * w[:-1]
+        adam.step(w, np.append(slope, on_p.sum() + on_u.sum()))
+    v = w[:-1].astype(np.float32)
+    return Model(v, -_least_risk(p @ v, u @ v, prior), prior)
+
+
+def _least_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The output at which the same risk with the zero-one loss is least, the highest if several are."""
+    p, u = np.sort(positive), np.sort(unlabelled)
+    bounds = np.unique(np.concatenate([p, u]))
+    above_p, above_u = (1 - np.searchsorted(x, bounds) / len(x) for x in (p, u))
+    risk = prior * (1 - above_p) + np.maximum(0, above_u - prior * above_p)
+    return float(bounds[np.flatnonzero(risk <= risk.min() + 1e-9)[-1]])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
