@@ -28,7 +28,7 @@ LOCKSTEP = 1024
 
 _MAGIC = b"TPC1"
 _HEAD = struct.Struct("<4sIII")  # magic, ids, crc32 of the ids as little-endian 32-bit, words
-_SLOTS_BITS = 12
+_SLOTS_BITS = 11
 _WIDTH = 64  # ids in an order-0 range
 _RANGES = 1024  # so ids are below 65536
 _TOTAL_BITS, _BASE_BITS = 24, 18
@@ -51,16 +51,22 @@ class _Model:
         learnt = np.linspace(0.04, 0.8, _STATES) * 65536
         learnt[0] = 0
         self.weight = [np.tile(learnt.astype(np.int64), m) for _ in range(2)]
-        self.count = np.ones((m, _RANGES), np.int64)
+        self.count = np.ones((m, _RANGES), np.int32)
         self.cumulative = np.zeros((m, _RANGES + 1), np.int64)
+        # Flat views: one index instead of two.
+        self.flat_count, self.flat = self.count.reshape(-1), self.cumulative.reshape(-1)
+        self.count_row, self.row = self.rows * _RANGES, self.rows * (_RANGES + 1)
         self._refresh(m)
 
     def _refresh(self, active: int) -> None:
-        count = self.count[:active]
-        total = count.sum(axis=1, keepdims=True)
         spare = (1 << _BASE_BITS) - _WIDTH * _RANGES
-        self.cumulative[:active, 1:] = np.cumsum(count, axis=1) * spare // total
-        self.cumulative[:active] += _WIDTH * np.arange(_RANGES + 1)
+        steps = _WIDTH * np.arange(1, _RANGES + 1)
+        for at in range(0, active, 64):  # slices that stay in the cache
+            part = slice(at, min(active, at + 64))
+            sums = np.cumsum(self.count[part], axis=1, dtype=np.int64)
+            factor = spare / sums[:, -1:]
+            self.cumulative[part, 1:] = (sums * factor).astype(np.int64) + steps
+            self.cumulative[part, -1] = 1 << _BASE_BITS
 
     def predict(self, active: int, last: np.ndarray, before: np.ndarray) -> None:
         """Peaks and base for the next id; `last` and `before` are the two ids ahead of it."""
@@ -79,10 +85,9 @@ class _Model:
 
     def base_interval(self, active: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of `ids` on the order-0 distribution alone."""
-        place = ids >> 6
-        rows = self.rows[:active]
-        first = self.cumulative[rows, place]
-        width = (self.cumulative[rows, place + 1] - first) * self.scale
+        at = self.row[:active] + (ids >> 6)
+        first = self.flat[at]
+        width = (self.flat[at + 1] - first) * self.scale
         inside = ids & (_WIDTH - 1)
         start = (width * inside) >> 6
         return first * self.scale + start, ((width * (inside + 1)) >> 6) - start
@@ -96,18 +101,18 @@ class _Model:
 
     def _invert(self, active: int, place: np.ndarray) -> np.ndarray:
         """The id whose base interval holds `place`."""
-        rows = self.rows[:active]
-        unit = np.maximum(place, 0) // self.scale
-        low = np.zeros(active, np.int64)
+        place = np.maximum(place, 0)
+        unit = place // self.scale
+        row = self.row[:active]
+        at = row.copy()
         half = _RANGES >> 1
         while half:
-            step = low + half
-            low = np.where(self.cumulative[rows, step] <= unit, step, low)
+            at += half * (self.flat[at + half] <= unit)
             half >>= 1
-        first = self.cumulative[rows, low]
-        width = (self.cumulative[rows, low + 1] - first) * self.scale
-        inside = (64 * (np.maximum(place, 0) - first * self.scale + 1) - 1) // width
-        return (low << 6) + np.minimum(inside, _WIDTH - 1)
+        first = self.flat[at]
+        width = (self.flat[at + 1] - first) * self.scale
+        inside = (64 * (place - first * self.scale + 1) - 1) // width
+        return ((at - row) << 6) + np.minimum(inside, _WIDTH - 1)
 
     def find(self, active: int, place: np.ndarray) -> np.ndarray:
         """The id whose mixed interval holds `place`."""
@@ -136,7 +141,7 @@ class _Model:
             self.record[k][self.at[k]] = np.where(
                 stays, np.minimum(state + 1, _STATES - 1), np.where(replaced, 1, state >> 1)
             )
-        self.count[self.rows[:active], ids >> 6] += _STEP_COUNT
+        self.flat_count[self.count_row[:active] + (ids >> 6)] += _STEP_COUNT
         done = step + 1
         if done % 256 == 0 or done in (16, 32, 64, 128):
             self._refresh(active)

@@ -11,9 +11,9 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from functools import cache
 
-import numpy as np
 import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
@@ -60,9 +60,10 @@ def word_units(text: str) -> list[str]:
 class UnitEncoder:
     """Ids of whole texts through a tokenizer file and remembered units."""
 
-    def __init__(self, path: str, units) -> None:
+    def __init__(self, path: str, units, fold=None) -> None:
+        """`fold` maps a unit to units with the same ids, of which fewer exist."""
         self._tokenizer = library_tokenizer(path)
-        self._units = units
+        self._units, self._fold = units, fold
         self._known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
@@ -71,14 +72,32 @@ class UnitEncoder:
         if len(known) > REMEMBERED:
             known.clear()
         units = self._units(text)
-        missing = [u for u in dict.fromkeys(units) if u not in known]
+        missing = set(units).difference(known)
         if missing:
-            encoded = self._tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            for unit, e in zip(missing, encoded):
-                known[unit] = np.array(e.ids, "<u4").tobytes()
+            folded = {u: self._fold(u) for u in missing} if self._fold else {}
+            plain = missing if not folded else {p for parts in folded.values() for p in parts}.difference(known)
+            plain = list(plain)
+            encoded = self._tokenizer.encode_batch_fast(plain, add_special_tokens=False)
+            for unit, e in zip(plain, encoded):
+                known[unit] = array("I", e.ids).tobytes()
+            for unit, parts in folded.items():
+                known[unit] = b"".join(map(known.__getitem__, parts))
         return b"".join(map(known.__getitem__, units))
 
 
+def folded_word(unit: str) -> tuple[str, ...]:
+    """An ASCII unit of a lower-casing vocabulary: lower case, a closing mark by itself.
+
+    The pattern splits letters from marks, and a mark at the end of a unit belongs to no contraction.
+    """
+    if not unit.isascii():
+        return (unit,)
+    low = unit.lower()
+    if len(low) > 1 and low[-1] in ".,;:!?" and low[-2].isalpha():
+        return (low[:-1], low[-1])
+    return (low,)
+
+
 @cache
 def byte_level_encoder(path: str) -> UnitEncoder:
     return UnitEncoder(path, byte_level_units)
@@ -86,4 +105,4 @@ def byte_level_encoder(path: str) -> UnitEncoder:
 
 @cache
 def word_encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(path, word_units)
+    return UnitEncoder(path, word_units, folded_word)
