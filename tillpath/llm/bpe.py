@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillpath.llm.common import text_of
+from tillpath.llm.common import small, text_of
 from tillpath.llm.tokens import rank_encoding
 from tillpath.session import stage
 
@@ -55,7 +55,7 @@ def _encoded(texts: DataFrame, path: str, *keep: str) -> DataFrame:
 
     def batches(stream):
         encoding = rank_encoding(path)
-        for batch in stream:
+        for batch in small(stream):
             ids = [encoding.encode_ordinary(t or "") for t in batch.column(len(keep)).to_pylist()]
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(
@@ -67,7 +67,7 @@ def _encoded(texts: DataFrame, path: str, *keep: str) -> DataFrame:
 
 def _windows(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
     def batches(stream):
-        for batch in stream:
+        for batch in small(stream):
             for row, doc, text in zip(*[c.to_pylist() for c in batch.columns]):
                 starts = range(0, len(text), chunk)
                 for at in range(0, len(starts), 64):
@@ -93,7 +93,7 @@ def _edges(windows: DataFrame, chunk: int, overlap: int) -> DataFrame:
     window, both counted from the start of the text."""
 
     def batches(stream):
-        for batch in stream:
+        for batch in small(stream):
             heads, tails = [], []
             for number, window in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 ends = [e for e in boundaries(window) if e <= len(window) - _UNSURE]
@@ -162,7 +162,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def batches(stream):
         encoding = rank_encoding(path)
-        for batch in stream:
+        for batch in small(stream):
             data = [encoding.decode_bytes(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 
@@ -175,7 +175,7 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def batches(stream):
         encoding = rank_encoding(path)
-        for batch in stream:
+        for batch in small(stream):
             rows = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [

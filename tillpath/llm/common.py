@@ -21,6 +21,13 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def small(stream, rows: int = 256):
+    """The Arrow batches of a task in slices of a few rows, so that what Python makes of them stays small."""
+    for batch in stream:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def hot_keys(keys: DataFrame, columns: list[str], least: int = 1000, most: int = 1000) -> DataFrame:
     """The up to `most` most frequent keys with at least `least` rows, checkpointed.
 

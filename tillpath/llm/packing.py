@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpath.llm.common import text_of
+from tillpath.llm.common import small, text_of
 from tillpath.llm.tokens import byte_level_encoder
 from tillpath.operators.ranking import group_key
 from tillpath.session import stage
@@ -56,7 +56,7 @@ def pieces(
     def batches(stream):
         encoder = byte_level_encoder(path)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in stream:
+        for batch in small(stream):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = encoder(text) + end

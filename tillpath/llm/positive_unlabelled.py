@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillpath.llm.common import text_of
+from tillpath.llm.common import small, text_of
 from tillpath.llm.text_features import SAMPLE_ROWS, SIZE, Adam, sample, scaled, squash, vector
 
 STEPS, RATE, DECAY = 300, 0.1, 1e-3
@@ -127,7 +127,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
 
     def batches(stream):
-        for batch in stream:
+        for batch in small(stream):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             values = np.zeros(len(texts))
             for at in range(0, len(texts), 256):

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillpath.llm.common import small
 from tillpath.llm.text_features import SAMPLE_ROWS, SIZE, Adam, sample, scaled, squash, vector
 
 # Fixed thresholds: least words, most repeated words of a hundred, least probability of quality.
@@ -124,7 +125,7 @@ def judge(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     names = [*keep, *_COUNTS, "base_failed", "kept"]
 
     def batches(stream):
-        for batch in stream:
+        for batch in small(stream):
             texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
             found, passed = [], np.zeros(len(texts), bool)
             for at in range(0, len(texts), 256):

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillpath.llm.common import components, text_of
+from tillpath.llm.common import components, small, text_of
 from tillpath.session import stage
 
 SHINGLE_WORDS, MAX_BITS, HASH_SEED = 3, 3, 42
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id and `fp` (the fingerprint as a signed long) of every row."""
 
     def batches(stream):
-        for batch in stream:
+        for batch in small(stream):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             values = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays(

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpath.llm.common import text_of
+from tillpath.llm.common import small, text_of
 
 SAMPLE_ROWS = 4000
 
@@ -84,7 +84,7 @@ def sample(docs: DataFrame, kept: DataFrame, most: int = SAMPLE_ROWS) -> tuple[n
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def batches(stream):
-        for batch in stream:
+        for batch in small(stream):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             data = [vector(t).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays(

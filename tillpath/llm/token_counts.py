@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillpath.llm.common import text_of
+from tillpath.llm.common import small, text_of
 from tillpath.llm.tokens import byte_level_units, rank_encoding
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -119,7 +119,7 @@ def build_trees(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF
 
     def batches(stream):
         count = _counter(path)
-        for batch in stream:
+        for batch in small(stream):
             trees = [Tree.build(t, count, leaf_chars) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -157,7 +157,7 @@ def apply_edits(trees: DataFrame, path: str | None = None) -> DataFrame:
 
     def batches(stream):
         count = _counter(path)
-        for batch in stream:
+        for batch in small(stream):
             out = []
             for doc, text, before, chars, tokens, edits in zip(*[c.to_pylist() for c in batch.columns]):
                 tree, touched = Tree(chars, tokens), 0

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillpath.llm.common import text_of
+from tillpath.llm.common import small, text_of
 from tillpath.llm.range_coder import BLOCK_IDS, LOCKSTEP, decode_blocks, encode_blocks
 from tillpath.llm.tokens import word_encoder
 from tillpath.session import shared_folder
@@ -92,7 +92,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
             rest = stream_ids[count * block_ids :]
             ids, held = ([rest] if len(rest) else []), len(rest)
 
-        for batch in stream:
+        for batch in small(stream):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = np.frombuffer(encoder(text) + end, "<u4")
                 ids.append(own)
