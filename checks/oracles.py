@@ -137,7 +137,7 @@ capped AS (
   FROM moved, bounds),
 totalled AS (
   SELECT * REPLACE (CAST(price AS DECIMAL(10,2)) AS price),
-         CAST(quantity * CAST(price AS DECIMAL(10,2)) AS DECIMAL(12,2)) AS total_amount FROM capped),
+         CAST(quantity * CAST(price AS DECIMAL(18,6)) AS DECIMAL(12,2)) AS total_amount FROM capped),
 cleaned AS (SELECT * REPLACE (CAST(customer_id AS BIGINT) AS customer_id) FROM totalled)"""
 
 BUILT = f"""{RAW},
@@ -746,7 +746,7 @@ _SWEEP = """
 sweep AS (
   SELECT model, i / 1e2 AS threshold, count_if(hit AND label = 1) AS tp, count_if(hit AND label = 0) AS fp,
          count_if(NOT hit AND label = 1) AS fn
-  FROM (SELECT *, CAST(score AS DECIMAL(18,10)) * 100 >= i AS hit
+  FROM (SELECT *, score >= i / 1e2 AS hit
         FROM scored, (SELECT unnest(generate_series(10, 89)) AS i)) GROUP BY 1, 2)"""
 ORACLES["threshold_sweep"] = judged(f"""
 SELECT model, threshold, cost, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, precision, recall, f1

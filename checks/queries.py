@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks import testbed
+from tillpath.config import Settings
 from tillpath.fixed_values import NUMERIC_FEATURES
 from tillpath.functions.numeric import half_up, risk_tier
 from tillpath.operators import (
@@ -660,7 +661,7 @@ def churn_label(spark, folder):
     return _values(spark, folder).select(
         "customer_id",
         features.churn_label(recency).alias("churned_90"),
-        (recency > 30).alias("churned_30"),
+        features.churn_label(recency, Settings(churn_days=30)).alias("churned_30"),
     )
 
 

@@ -103,7 +103,7 @@ def test_total_uses_the_capped_quantity(clean):
     got = clean(
         [line(quantity=2, price=3.335), line("C2", quantity=-1, price=4.0)], cap_low=0.0, cap_high=1.0
     )
-    assert sorted(float(r["total_amount"]) for r in got.lines.collect()) == [-4.0, 6.68]
+    assert sorted(float(r["total_amount"]) for r in got.lines.collect()) == [-4.0, 6.67]
 
 
 def test_customer_number(spark):
@@ -154,3 +154,10 @@ def test_empty_feed(clean):
     got = clean([])
     assert got.lines.count() == 0
     assert [r["rows_before"] for r in got.report.collect()] == [0, 0, 0, 0]
+
+
+def test_prices_below_a_cent_are_rounded_after_the_product(spark):
+    from tillpath.operators.cleaning import add_total
+
+    lines = spark.createDataFrame([(982, 0.004), (100, 0.015), (3, 2.5)], "quantity int, price double")
+    assert sorted(str(r.total_amount) for r in add_total(lines).collect()) == ["1.50", "3.93", "7.50"]

@@ -133,3 +133,37 @@ def test_jobs_from_files_to_forecast(spark, tmp_path):
     assert forecast.best.count() == 1
     assert forecast.forecast.where("error IS NULL").count() == 6
     assert forecast.comparison.count() == 3
+
+
+_LINE = '536365,{code},"DOORMAT 16"" X 24"", RED",6,2010-12-01 08:26:00,2.5,17850.0,United Kingdom\n'
+
+
+def test_csv_with_quotes_and_two_column_orders(spark, tmp_path):
+    from tillpath.sources.feeds import read_parts
+
+    names = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country"
+    (tmp_path / "a.csv").write_text(names + "\n" + _LINE.format(code="A"))
+    other = "Country,Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID"
+    (tmp_path / "b.csv").write_text(other + '\nFrance,1,B,"x, ""y""",8,2010-12-01 08:26:00,1.5,7.0\n')
+    got = {r.StockCode: r for r in read_parts(spark, [str(tmp_path)]).collect()}
+    assert got["A"].Description == 'DOORMAT 16" X 24", RED' and got["A"]["Customer ID"] == 17850.0
+    assert got["B"].Description == 'x, "y"' and got["B"].Country == "France" and got["B"].Quantity == 8
+    (tmp_path / "c.csv").write_text("Invoice,StockCode\n1,2\n")
+    with pytest.raises(ValueError, match="missing columns"):
+        read_parts(spark, [str(tmp_path)])
+
+
+def test_json_whose_first_record_lacks_a_null_field(spark, tmp_path):
+    import json
+
+    from tillpath.sources.feeds import read_parts
+
+    full = {"Invoice": "1", "StockCode": "A", "Description": "d", "Quantity": 1, "InvoiceDate": "2010-12-01T08:26:00",
+            "Price": 1.5, "Customer ID": 7.0, "Country": "France"}
+    first = {k: v for k, v in full.items() if k != "Customer ID"}
+    (tmp_path / "a.json").write_text(json.dumps(first) + "\n" + json.dumps(full) + "\n")
+    got = read_parts(spark, [str(tmp_path)], "json").collect()
+    assert sorted(str(r["Customer ID"]) for r in got) == ["7.0", "None"]
+    (tmp_path / "a.json").write_text(json.dumps(first) + "\n")
+    with pytest.raises(ValueError, match="Customer ID"):
+        read_parts(spark, [str(tmp_path)], "json")

@@ -113,7 +113,13 @@ def threshold_costs(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     A score passes every threshold up to its hundredths, so rows are counted per hundredth and the
     counts are summed from the top: at most 101 rows per model after the first aggregate.
     """
-    hundredth = F.floor(F.col("score").cast("decimal(18,10)") * 100).cast("int")
+    # The product may round up to the next bound, so it is compared with the score itself.
+    product = F.floor(F.col("score") * 100).cast("int")
+    hundredth = (
+        F.when(F.col("score") < product / F.lit(100.0), product - 1)
+        .when(F.col("score") >= (product + 1) / F.lit(100.0), product + 1)
+        .otherwise(product)
+    )
     buckets = _counts(scored, hundredth.alias("bucket"))
     top_down = Window.partitionBy("model").orderBy(F.col("bucket").desc())
     whole = Window.partitionBy("model")

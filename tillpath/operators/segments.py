@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -55,8 +56,12 @@ def _vectors(scaled: DataFrame) -> DataFrame:
 
 
 def _best_of(vectors: DataFrame, k: int, seed: int, restarts: int) -> KMeansModel:
-    """The fit with the lowest cost over several seeds; ties keep the first."""
-    fits = (KMeans(k=k, seed=seed + i, maxIter=300).fit(vectors) for i in range(restarts))
+    """The fit with the lowest cost over several seeds; ties keep the first.
+
+    A few fits run side by side, since each is a chain of short jobs over the same cached vectors.
+    """
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=300).fit(vectors), range(restarts)))
     return min(fits, key=lambda model: model.summary.trainingCost)
 
 
@@ -99,13 +104,12 @@ def kmeans_sweep(
     ks: range = range(2, 11),
     settings: Settings = DEFAULTS,
     *,
-    restarts: int = 2,
+    restarts: int = 10,
 ) -> DataFrame:
     """(k, inertia, silhouette) per number of clusters.
 
     The loop runs over models, each fit and each evaluation is a distributed job over the cached
-    vectors. Starting centres are drawn over the whole data, so the sweep makes do with fewer restarts
-    than the final fit. The silhouette uses squared distances, which needs one pass instead of all pairs.
+    vectors. The silhouette uses squared distances, which needs one pass instead of all pairs.
     """
     vectors = _vectors(rfm_features(scores)).select("features")
     vectors.persist(StorageLevel.MEMORY_AND_DISK)

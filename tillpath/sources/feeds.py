@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillpath.schemas import RAW
 
@@ -27,33 +26,65 @@ def union_parts(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [require_columns(p) for p in parts])
 
 
-def _found_columns(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """The part as the files describe themselves: header, footer or keys of the first record.
+# Quotes inside a quoted value are doubled, as spreadsheets write them.
+_CSV = {"header": "true", "quote": '"', "escape": '"'}
 
-    No values are scanned for types.
+
+def _csv_parts(spark: SparkSession, path: str, multi_line: bool) -> list[DataFrame]:
+    """The files of a part as text columns, one frame per distinct header.
+
+    Every file is read with its own header, so files of one folder may have their columns in any
+    order; the headers are compared on the driver (one row per distinct header).
     """
-    if fmt == "csv":
-        return spark.read.option("header", True).csv(path)
-    if fmt == "json":
-        first = spark.read.text(path).limit(1).select(F.json_object_keys("value").alias("k")).first()
-        keys = first["k"] if first and first["k"] else []
-        return spark.createDataFrame([], T.StructType([T.StructField(k, T.StringType()) for k in keys]))
-    return spark.read.format(fmt).load(path)
+    options = _CSV | {"multiLine": str(multi_line).lower()}
+    heads = (
+        spark.read.text(path)
+        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+        .where("at = 0")
+        .groupBy("file")
+        .agg(F.first("value").alias("head"))
+    )
+    files: dict[str, list[str]] = {}
+    for row in heads.collect():
+        files.setdefault(row["head"], []).append(row["file"])
+    return [require_columns(spark.read.options(**options).csv(group)) for group in files.values()]
+
+
+def _json_columns(spark: SparkSession, path: str) -> list[str]:
+    """Names that any record of the part has; writers leave NULL fields out of single records."""
+    keys = spark.read.text(path).select(F.explode(F.json_object_keys("value")).alias("k")).distinct()
+    return [r["k"] for r in keys.collect()]
 
 
 def read_parts(
-    spark: SparkSession, paths: Sequence[str], fmt: str = "csv", *, position: str | None = None
+    spark: SparkSession,
+    paths: Sequence[str],
+    fmt: str = "csv",
+    *,
+    position: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read every part with the one raw schema and stack them.
 
-    CSV parts need a header and may have their columns in any order; values that do not parse are
-    NULL. `position` adds where a row stood (part, file, block, row), comparable between rows, for
+    CSV files need a header and may have their columns in any order, each file its own; values that do
+    not parse are NULL. `multi_line` allows line breaks inside quotes; such files cannot be split.
+    `position` adds where a row stood (part, file, block, row), comparable between rows, for
     rules that take the first of several rows.
     """
-    frames = []
+    frames, sources = [], []
     for number, path in enumerate(paths):
-        found = require_columns(_found_columns(spark, path, fmt))
-        part = found if fmt == "csv" else spark.read.format(fmt).schema(RAW).load(path)
+        if fmt == "csv":
+            sources += [(number, part) for part in _csv_parts(spark, path, multi_line)]
+        elif fmt == "json":
+            found = _json_columns(spark, path)
+            missing = sorted(set(RAW.names) - set(found))
+            if missing:
+                raise ValueError(f"missing columns {missing}, found {sorted(found)}")
+            sources.append((number, spark.read.schema(RAW).json(path)))
+        else:
+            require_columns(spark.read.format(fmt).load(path))
+            sources.append((number, spark.read.format(fmt).schema(RAW).load(path)))
+    for number, part in sources:
         columns = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in RAW.fields]
         if position:
             columns.append(
