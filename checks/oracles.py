@@ -866,11 +866,12 @@ guesses AS (
     WHERE pos >= n - 6 AND pos > 0),
 baseline_scores AS (
   SELECT series_key, model, {rounded('(avg(abs(predicted - actual) / nullif(abs(actual), 0)) * 1e2)')} AS mape,
-         {rounded('sqrt(avg((predicted - actual) * (predicted - actual)))')} AS rmse
+         {rounded('sqrt(avg((predicted - actual) * (predicted - actual)))')} AS rmse,
+         count(*) AS folds_scored -- folds of one month
   FROM guesses WHERE predicted IS NOT NULL GROUP BY 1, 2),
 best AS (
   SELECT series_key, model, mape FROM baseline_scores
-  QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY mape, model) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY folds_scored DESC, mape, model) = 1)"""
 ORACLES["forecast_scores"] = timed("SELECT * FROM baseline_scores", BASELINES)
 ORACLES["best_forecaster"] = timed("SELECT * FROM best", BASELINES)
 NAIVE = """

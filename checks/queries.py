@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -743,9 +744,14 @@ def top_features(spark, folder):
 
 @query
 def score_all(spark, folder):
-    customers_in = _features(spark, folder)
-    data, model = _trained(spark, folder, "logistic_regression")
-    return classifiers.score_all(customers_in, model, data.encoder)
+    """Every customer, with the model that ranks the test rows best."""
+    customers_in = cut(_features(spark, folder))
+    data = classifiers.prepare(customers_in)
+    fitted = {name: classifiers.fit_model(name, data) for name in classifiers.MODELS}
+    tested = [classifiers.predict(name, model, data.test) for name, model in fitted.items()]
+    comparison = metrics.evaluate_models(cut(reduce(DataFrame.unionByName, tested)))
+    best = metrics.best_model(comparison).first()["model"]
+    return classifiers.score_all(customers_in, fitted[best], data.encoder)
 
 
 def _scored(spark, folder):

@@ -83,10 +83,25 @@ def test_baselines_and_scores_by_hand(spark):
         ("drift", 40.0, 30.0), ("naive", 40.0, 20.0),
     ]
     scores = series.forecast_scores(predictions)
-    assert [tuple(r) for r in scores.collect()] == [("a", "drift", 25.0, 10.0), ("a", "naive", 50.0, 20.0)]
+    assert [tuple(r) for r in scores.collect()] == [
+        ("a", "drift", 25.0, 10.0, 1), ("a", "naive", 50.0, 20.0, 1),
+    ]
     assert rows(series.best_forecaster(scores)) == [("a", "drift", 25.0)]
 
 
+def test_a_model_that_failed_on_a_fold_is_not_chosen(spark):
+    df = spark.createDataFrame(
+        [("a", "patchy", 0, 10.0, 10.0), ("a", "patchy", 1, 10.0, None),
+         ("a", "whole", 0, 10.0, 11.0), ("a", "whole", 1, 10.0, 9.0)],
+        "series_key string, model string, fold int, actual double, predicted double",
+    )
+    scores = series.forecast_scores(df)
+    assert {r["model"]: (r["mape"], r["folds_scored"]) for r in scores.collect()} == {
+        "patchy": (0.0, 1), "whole": (10.0, 2),
+    }
+    assert rows(series.best_forecaster(scores)) == [("a", "whole", 10.0)]
+
+
 def test_arima_recovers_an_ar_process():
     rng = np.random.default_rng(3)
     w = np.zeros(400)

@@ -19,6 +19,7 @@ from tillpath.operators.orders import (
     with_calendar,
 )
 from tillpath.operators.ranking import dense_key, exact_quantiles
+from tillpath.session import cut
 
 
 def _tenure() -> Column:
@@ -26,24 +27,32 @@ def _tenure() -> Column:
 
 
 def customer_ltv(fact: DataFrame, dates: DataFrame, customers: DataFrame) -> DataFrame:
-    """Historical value per customer. Lines are merged per (customer, invoice, day) first."""
+    """Historical value per customer. Lines are merged per (customer, invoice) first.
+
+    An invoice then goes on as one row per day it has (one, as a rule) and counts on the first of
+    them, which leaves the days as the only distinct count.
+    """
     merged = (
         with_calendar(fact, dates, "full_date")
-        .groupBy("customer_id", "invoice_no", "full_date")
+        .groupBy("customer_id", "invoice_no")
         .agg(
             money(F.sum(sold("total_amount"))).alias("sold_amount"),
             money(F.sum(returned("total_amount"))).alias("returned_amount"),
             F.bool_or("is_return").alias("has_return"),
             F.bool_or(~F.col("is_return")).alias("has_sale"),
+            F.collect_set("full_date").alias("days"),
         )
     )
-    totals = merged.groupBy("customer_id").agg(
-        money(F.sum("sold_amount")).alias("gross_revenue"),
-        money(F.sum("returned_amount")).alias("return_value"),
-        F.countDistinct("invoice_no").alias("total_orders"),
-        F.countDistinct(F.when(F.col("has_return"), F.col("invoice_no"))).alias("return_orders"),
-        F.countDistinct(F.when(F.col("has_sale"), F.col("invoice_no"))).alias("sale_orders"),
-        F.countDistinct("full_date").alias("active_days"),
+    daily = merged.select("*", F.posexplode_outer("days").alias("nth", "day")).drop("days")
+    first = F.coalesce(F.col("nth"), F.lit(0)) == 0
+    known = first & F.col("invoice_no").isNotNull()
+    totals = daily.groupBy("customer_id").agg(
+        money(F.sum(F.when(first, F.col("sold_amount")))).alias("gross_revenue"),
+        money(F.sum(F.when(first, F.col("returned_amount")))).alias("return_value"),
+        F.count_if(known).alias("total_orders"),
+        F.count_if(known & F.col("has_return")).alias("return_orders"),
+        F.count_if(known & F.col("has_sale")).alias("sale_orders"),
+        F.countDistinct("day").alias("active_days"),
     )
     net = F.col("net_revenue")
     days = F.col("tenure_days")
@@ -86,10 +95,11 @@ def tenure_summary(
     totals = merged.groupBy("customer_id").agg(
         money(F.sum("amount")).alias("net_revenue"), F.count(F.lit(1)).alias("total_orders")
     )
-    bucketed = totals.join(
+    # The medians and the sums both read it.
+    bucketed = cut(totals.join(
         customers.select("customer_id", tenure_bucket(_tenure()).alias("tenure_bucket")),
         "customer_id",
-    )
+    ))
     medians = exact_quantiles(
         bucketed, "net_revenue", {"median": 0.5}, group=["tenure_bucket"], partitions=partitions
     )

@@ -199,7 +199,10 @@ def baseline_forecasts(series: DataFrame, folds: int = DEFAULTS.folds) -> DataFr
 
 
 def forecast_scores(predictions: DataFrame) -> DataFrame:
-    """MAPE in percent and RMSE per series and model over the folds, lowest MAPE first."""
+    """MAPE in percent and RMSE per series and model over the folds, lowest MAPE first.
+
+    A fold without a prediction is in no error; `folds_scored` tells how many folds are.
+    """
     error = F.col("predicted") - F.col("actual")
     share = F.try_divide(F.abs(error), F.abs("actual"))
     return (
@@ -208,13 +211,17 @@ def forecast_scores(predictions: DataFrame) -> DataFrame:
         .agg(
             half_up(F.avg(share) * 100.0).alias("mape"),
             half_up(F.sqrt(F.avg(error * error))).alias("rmse"),
+            F.countDistinct("fold").alias("folds_scored"),
         )
         .orderBy("series_key", "mape", "model")
     )
 
 
 def best_forecaster(scores: DataFrame) -> DataFrame:
-    """The model with the lowest MAPE per series; the first by name among equals."""
-    return scores.groupBy("series_key").agg(
-        F.min_by("model", F.struct("mape", "model")).alias("model"), F.min("mape").alias("mape")
-    )
+    """The model with the lowest MAPE per series; the first by name among equals.
+
+    Only models that were scored on as many folds as any model of the series compete.
+    """
+    place = F.struct((-F.col("folds_scored")).alias("fewer"), "mape", "model")
+    best = scores.groupBy("series_key").agg(F.min(place).alias("best"))
+    return best.select("series_key", "best.model", "best.mape")

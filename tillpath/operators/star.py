@@ -10,6 +10,7 @@ from tillpath.fixed_values import AGE_SHARES, CHANNEL_SHARES, OTHER_REGION
 from tillpath.functions.numeric import weighted_choice
 from tillpath.operators.ranking import dense_key
 from tillpath.schemas import CLEANED, DIM_CUSTOMERS, DIM_DATES, DIM_PRODUCTS, Star
+from tillpath.session import stage
 
 
 def calendar(span: DataFrame) -> DataFrame:
@@ -124,6 +125,9 @@ def number_lines(lines: DataFrame, content: list[str], *, buckets: int = _DAY_BU
     spread; the size of every (day, bucket) is counted, which is at most calendar days x buckets
     rows, and a row's id is what came before its bucket plus its place in it. The id depends on the
     content only, so a recomputed task assigns the same ones.
+
+    `lines` are stored once with their buckets: counting and numbering read the stored rows, so
+    the joins that made `lines` run once.
     """
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content]
     digest = F.md5(F.concat_ws("|", *texts))
@@ -131,6 +135,7 @@ def number_lines(lines: DataFrame, content: list[str], *, buckets: int = _DAY_BU
         "_bucket",
         F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long") % F.lit(buckets),
     )
+    keyed = stage(keyed, "keyed-lines")
     sizes = keyed.groupBy("date_id", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("date_id", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -146,10 +151,17 @@ def number_lines(lines: DataFrame, content: list[str], *, buckets: int = _DAY_BU
 
 
 def fact_transactions(
-    lines: DataFrame, dates: DataFrame, customers: DataFrame, products: DataFrame
+    lines: DataFrame,
+    dates: DataFrame,
+    customers: DataFrame,
+    products: DataFrame,
+    *,
+    buckets: int = _DAY_BUCKETS,
 ) -> DataFrame:
     """Lines of known customers with the keys of all dimensions.
 
+    `buckets` is part of the numbering (see `number_lines`): raise it where days are very large.
+
     Only the calendar is broadcast by hint (one row per day). Products and customers grow with the
     data: their joins are left to size statistics and adaptive execution.
     """
@@ -162,7 +174,7 @@ def fact_transactions(
         .join(customers.select("customer_id"), "customer_id", "left_semi")
     )
     # The raw columns that the fact drops still help to tell lines apart when spreading them.
-    numbered = number_lines(keyed, [c for c in CLEANED.names if c in keyed.columns])
+    numbered = number_lines(keyed, [c for c in CLEANED.names if c in keyed.columns], buckets=buckets)
     return numbered.select(
         "transaction_id",
         F.col("invoice").alias("invoice_no"),
