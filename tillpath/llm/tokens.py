@@ -11,20 +11,27 @@ from __future__ import annotations
 import base64
 import os
 import re
-from array import array
 from functools import cache
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-# Units remembered per process and vocabulary.
-REMEMBERED = 300_000
+# Units remembered per process and vocabulary: some 200 bytes each.
+REMEMBERED = 500_000
 
 # A single space between two characters that are no white space always begins a pre-token of the
 # byte-level pattern, so what follows it depends on nothing before it. Python's white space is a
 # superset of the pattern's, hence a cut is never made where the pattern would not cut.
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+# A space beside other white space. Texts without one are cut at every space.
+_BEFORE_WHITE, _AFTER_WHITE = re.compile(r" \s"), re.compile(r"[^\S ] ")
+
+# Marks that close a unit behind a Latin letter. Both patterns end a run of letters there, and take
+# what follows as one run; an apostrophe may begin a contraction and is none of these marks.
+# U+0130 is left out: in lower case it ends in a mark.
+_CLOSING = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])[!-&(-/:-@\[-`{-~]+\Z")
 
 
 @cache
@@ -48,7 +55,9 @@ def library_tokenizer(path: str) -> Tokenizer:
 
 def byte_level_units(text: str) -> list[str]:
     """Cuts a text where the byte-level pattern cuts it whatever stands around; joined, the text."""
-    first, *rest = _SINGLE_SPACE.split(text)
+    edge = text.startswith(" ") or text.endswith(" ")
+    beside = edge or _BEFORE_WHITE.search(text) or _AFTER_WHITE.search(text)
+    first, *rest = _SINGLE_SPACE.split(text) if beside else text.split(" ")
     return [first, *[" " + part for part in rest]]
 
 
@@ -60,47 +69,57 @@ def word_units(text: str) -> list[str]:
 class UnitEncoder:
     """Ids of whole texts through a tokenizer file and remembered units."""
 
-    def __init__(self, path: str, units, fold=None) -> None:
+    def __init__(self, path: str, units, fold) -> None:
         """`fold` maps a unit to units with the same ids, of which fewer exist."""
         self._tokenizer = library_tokenizer(path)
         self._units, self._fold = units, fold
         self._known: dict[str, bytes] = {}
 
+    def _learn(self, missing: set[str]) -> None:
+        known = self._known
+        folded = {u: self._fold(u) for u in missing}
+        plain = list({p for parts in folded.values() for p in parts}.difference(known))
+        if plain:
+            # The library takes the list as words that it encodes one by one, in a single call.
+            found = self._tokenizer.encode(plain, is_pretokenized=True, add_special_tokens=False)
+            sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(plain))
+            data = np.array(found.ids, "<u4").tobytes()
+            ends = (4 * np.cumsum(sizes)).tolist()
+            for unit, start, end in zip(plain, [0, *ends], ends):
+                known[unit] = data[start:end]
+        for unit, parts in folded.items():
+            if len(parts) > 1 or parts[0] != unit:
+                known[unit] = b"".join(map(known.__getitem__, parts))
+
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         known = self._known
         if len(known) > REMEMBERED:
             known.clear()
         units = self._units(text)
-        missing = set(units).difference(known)
-        if missing:
-            folded = {u: self._fold(u) for u in missing} if self._fold else {}
-            plain = missing if not folded else {p for parts in folded.values() for p in parts}.difference(known)
-            plain = list(plain)
-            encoded = self._tokenizer.encode_batch_fast(plain, add_special_tokens=False)
-            for unit, e in zip(plain, encoded):
-                known[unit] = array("I", e.ids).tobytes()
-            for unit, parts in folded.items():
-                known[unit] = b"".join(map(known.__getitem__, parts))
-        return b"".join(map(known.__getitem__, units))
+        found = list(map(known.get, units))
+        if None in found:
+            gaps = [i for i, ids in enumerate(found) if ids is None]
+            self._learn({units[i] for i in gaps})
+            for i in gaps:
+                found[i] = known[units[i]]
+        return b"".join(found)
 
 
-def folded_word(unit: str) -> tuple[str, ...]:
-    """An ASCII unit of a lower-casing vocabulary: lower case, a closing mark by itself.
+def parted(unit: str) -> tuple[str, ...]:
+    """A unit with its closing marks by themselves."""
+    marks = _CLOSING.search(unit)
+    return (unit[: marks.start()], marks.group()) if marks else (unit,)
 
-    The pattern splits letters from marks, and a mark at the end of a unit belongs to no contraction.
-    """
-    if not unit.isascii():
-        return (unit,)
-    low = unit.lower()
-    if len(low) > 1 and low[-1] in ".,;:!?" and low[-2].isalpha():
-        return (low[:-1], low[-1])
-    return (low,)
+
+def folded_word(unit: str) -> tuple[str, ...]:
+    """A unit of a lower-casing vocabulary: ASCII in lower case, closing marks by themselves."""
+    return parted(unit.lower() if unit.isascii() else unit)
 
 
 @cache
 def byte_level_encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(path, byte_level_units)
+    return UnitEncoder(path, byte_level_units, parted)
 
 
 @cache
