@@ -108,18 +108,3 @@ def test_edits_table_and_revision(spark, some_docs, odd_docs, make_docs):
         assert sorted((repr(r.doc_id), r.n_tokens_before) for r in rows) == old
         assert all(r.n_tokens == count(r.text) and r.text.endswith("revision.") for r in rows)
     assert token_counts.build_trees(docs.limit(0)).count() == 0
-
-
-MARKED = PARTS + ["Wort***", "é&&&", "x'.", "İ,", "×!", "ʰ.", "ſ;", "12%", "<|endoftext|>", "A", "-", " "]
-
-
-@pytest.mark.parametrize(
-    "encoder, name", [(byte_level_encoder, "byte_bpe_50k.json"), (word_encoder, "word_bpe_49k.json")]
-)
-def test_closing_marks_and_white_space_keep_the_ids_of_the_library(encoder, name):
-    path = public_tokenizers.path(name)
-    rng = random.Random(11)
-    texts = ["", " ", " a", "a ", "a  b", *["".join(rng.choices(MARKED, k=rng.randint(1, 30))) for _ in range(4000)]]
-    for text in texts:
-        ids = library_tokenizer(path).encode(text, add_special_tokens=False).ids
-        assert list(memoryview(encoder(path)(text)).cast("I")) == ids, text
