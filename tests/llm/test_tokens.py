@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillpath.llm import bpe, token_counts
-from tillpath.llm.tokens import byte_level_encoder, library_tokenizer, rank_encoding, word_encoder
+from tillpath.llm.tokens import byte_level_encoder, library_tokenizer, rank_encoding, rank_ids, word_encoder, _byte_letters
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PARTS = ["a", "é", "don't", "'", "re", " ", "  ", "\n", " \n ", "\t", "12", "!?", "\x1c", "\x85", "　", "word", "\U0001f600", "İ", "́", "Σ"]
@@ -64,6 +65,39 @@ def test_units_give_the_ids_of_the_whole_text(some_docs, odd_rows, name, encoder
         assert list(memoryview(own(text)).cast("I")) == ids
 
 
+def test_every_merge_is_what_ranks_would_do():
+    """A token's bytes, encoded with lower ranks only, end in the pair that its merge names; with merges in the
+    order of ids, encoding by ranks then takes the same steps as encoding by merges."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        merges = json.load(file)["model"]["merges"]
+    ranks = rank_encoding(public_tokenizers.path("byte_bpe_50k.json"))._mergeable_ranks
+    letters = _byte_letters()
+    for pair in merges:
+        first, second = (bytes(letters[c] for c in part) for part in pair)
+        parts = [bytes([b]) for b in first + second]
+        while len(parts) > 2:
+            near = [(ranks.get(a + b, len(ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+            rank, i = min(near)
+            assert rank < ranks[first + second]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert parts == [first, second]
+
+
+@pytest.mark.parametrize("text", [" " * 30000 + "z", " " * 30000 + "\n z", "a" + "\n" * 30000, "b" + "\t" * 25000 + " c " + " " * 20000, " " * 25000 + "\x1cq"])
+def test_long_white_space(text):
+    own = rank_encoding(RANKS)
+    assert rank_ids(own, text) == own.encode_ordinary(text)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = library_tokenizer(path).encode(text, add_special_tokens=False).ids
+    assert list(memoryview(byte_level_encoder(path)(text)).cast("I")) == ids
+
+
+def test_white_space_that_the_pattern_cannot_take():
+    own = rank_encoding(RANKS)
+    text = "a" + " " * 1_500_000 + "z"
+    assert own.decode(rank_ids(own, text)) == text
+
+
 def count(text):
     return len(rank_encoding(RANKS).encode_ordinary(text))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillpath.llm.common import small, text_of
-from tillpath.llm.tokens import rank_encoding
+from tillpath.llm.tokens import rank_encoding, rank_ids
 from tillpath.session import stage
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -56,7 +56,7 @@ def _encoded(texts: DataFrame, path: str, *keep: str) -> DataFrame:
     def batches(stream):
         encoding = rank_encoding(path)
         for batch in small(stream):
-            ids = [encoding.encode_ordinary(t or "") for t in batch.column(len(keep)).to_pylist()]
+            ids = [rank_ids(encoding, t or "") for t in batch.column(len(keep)).to_pylist()]
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpath.llm.common import small, text_of
-from tillpath.llm.tokens import byte_level_units, rank_encoding
+from tillpath.llm.tokens import byte_level_units, rank_encoding, rank_ids
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LEAF_CHARS = 256
@@ -110,7 +110,7 @@ class Tree:
 
 def _counter(path: str):
     encoding = rank_encoding(path)
-    return lambda text: len(encoding.encode_ordinary(text))
+    return lambda text: len(rank_ids(encoding, text))
 
 
 def build_trees(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
