@@ -183,7 +183,14 @@ def built(select: str, *more: str) -> str:
 
 
 FEED = '"Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "Customer ID", "Country"'
-ORACLES["scan_parts_union"] = raw(f"SELECT {FEED} FROM raw")
+ORACLES["scan_parts_union"] = raw(
+    f"""SELECT * REPLACE ("Description" || ' 16" X 24", RED' AS "Description") FROM (SELECT {FEED} FROM raw)"""
+)
+ORACLES["required_columns"] = raw(
+    """SELECT "Country", count(*) AS n_lines, CAST(sum("Quantity") AS BIGINT) AS quantity,
+              count("Customer ID") AS n_known, 'missing columns [''Price'']' AS refusal
+       FROM feed WHERE "InvoiceDate" < DATE '1999-01-01' GROUP BY 1"""
+)
 ORACLES["clean_rename"] = raw("SELECT * FROM renamed")
 ORACLES["clean_strip"] = raw("SELECT * FROM stripped")
 ORACLES["clean_dedup"] = raw("SELECT * FROM deduped")
@@ -259,7 +266,7 @@ ORACLES["full_refresh"] = star(
 )
 ORACLES["star_scan"] = star(
     "SELECT region, year, count(*) AS line_count, CAST(sum(total_amount) AS DOUBLE) AS amount "
-    "FROM dated JOIN customers USING (customer_id) GROUP BY 1, 2"
+    "FROM dated JOIN customers USING (customer_id) WHERE year >= 1995 GROUP BY 1, 2"
 )
 
 # ---- validation -------------------------------------------------------------------------------
@@ -742,6 +749,10 @@ JOIN (SELECT model, {rounded('((sum(mean_rank) FILTER (label = 1) - p * (p + 1)
                    sum(label) OVER (PARTITION BY model) AS p,
                    count(*) OVER (PARTITION BY model) - sum(label) OVER (PARTITION BY model) AS n
             FROM scored) GROUP BY model, p, n) USING (model)""")
+ORACLES["report_scan"] = ORACLES["evaluate_models"]
+ORACLES["model_metrics"] = ORACLES["evaluate_models"].replace("SELECT model, ", "SELECT model AS model_name, ", 1).replace(
+    f",\n       {share('(tp + tn)', '(tp + fp + fn + tn)')} AS accuracy", "", 1
+)
 _SWEEP = """
 sweep AS (
   SELECT model, i / 1e2 AS threshold, count_if(hit AND label = 1) AS tp, count_if(hit AND label = 0) AS fp,

@@ -64,10 +64,53 @@ def query(function: Query) -> Query:
 
 # ---- sources and sinks ------------------------------------------------------------------------
 
+QUOTED = ' 16" X 24", RED'
+
+
+def write_feed(part: DataFrame, path: str) -> None:
+    """Add CSV files as a spreadsheet writes them: doubled quotes, spaces kept."""
+    part.write.mode("append").options(
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+
 
 @query
 def scan_parts_union(spark, folder):
-    return feeds.union_parts(testbed.raw_parts(spark, folder))
+    """The feed written as files and read back: the first part as CSV in one folder, where files have the columns in
+    two orders and texts hold quotes and commas; the second as JSON, whose records leave NULL fields out."""
+    first, second = (
+        part.withColumn("Description", F.concat("Description", F.lit(QUOTED)))
+        for part in testbed.raw_parts(spark, folder)
+    )
+    path = os.path.join(shared_folder(spark), f"feed-{uuid.uuid4().hex}")
+    even = F.col("Quantity") % 2 == 0
+    write_feed(first.where(even), f"{path}/csv")
+    write_feed(first.where(~even).select(*reversed(first.columns)), f"{path}/csv")
+    second.write.json(f"{path}/json")
+    return feeds.union_parts(
+        [feeds.read_parts(spark, [f"{path}/csv"]), feeds.read_parts(spark, [f"{path}/json"], "json")]
+    )
+
+
+@query
+def required_columns(spark, folder):
+    """A feed with a column too many is read; one without prices is refused, in the words of `refusal`."""
+    first, second = testbed.raw_parts(spark, folder)
+    path = os.path.join(shared_folder(spark), f"feed-{uuid.uuid4().hex}")
+    write_feed(first.withColumn("Till", F.lit(1)), f"{path}/more")
+    write_feed(second, f"{path}/less")
+    write_feed(second.drop("Price"), f"{path}/less")
+    refusal = None
+    try:
+        feeds.read_parts(spark, [f"{path}/less"])
+    except ValueError as problem:
+        refusal = str(problem).split(", found")[0]
+    return feeds.read_parts(spark, [f"{path}/more"]).groupBy("Country").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.sum("Quantity").alias("quantity"),
+        F.count("Customer ID").alias("n_known"),
+        F.lit(refusal).alias("refusal"),
+    )
 
 
 @query
@@ -88,14 +131,21 @@ def full_refresh(spark, folder):
 
 @query
 def star_scan(spark, folder):
-    """The star through SQL text."""
-    tables.register_views(testbed.star(spark, folder))
+    """The stored star through SQL text; the filter on the year leaves folders of the fact unread."""
+    path = os.path.join(shared_folder(spark), f"star-{uuid.uuid4().hex}")
+    made = testbed.star(spark, folder)
+    for name in tables.TABLES:
+        tables.write_dimension(getattr(made, name.removeprefix("dim_")), path, name)
+    lines = made.fact.withColumn("transaction_id", F.lit(0).cast("long"))
+    tables.write_fact(lines, made.dates, os.path.join(path, "fact_transactions"))
+    tables.register_views(tables.read_star(spark, path))
     return spark.sql("""
         SELECT c.region, d.year, count(*) AS line_count, sum(f.total_amount) AS amount
         FROM fact_transactions f
         JOIN dim_dates d ON f.date_id = d.date_id
         JOIN dim_customers c ON f.customer_id = c.customer_id
         JOIN dim_products p ON f.product_id = p.product_id
+        WHERE f.year >= 1995
         GROUP BY c.region, d.year
     """)
 
@@ -763,6 +813,28 @@ def evaluate_models(spark, folder):
     return metrics.evaluate_models(_scored(spark, folder))
 
 
+def _comparison_report(spark, folder):
+    """The folder of a written comparison of models, and its schema."""
+    comparison = metrics.evaluate_models(_scored(spark, folder))
+    path = os.path.join(shared_folder(spark), f"models-{uuid.uuid4().hex}")
+    reports.write_csv(comparison, path)
+    return path, comparison.schema
+
+
+@query
+def report_scan(spark, folder):
+    """A written report with its schema, and one that was not written yet, which has no rows."""
+    path, schema = _comparison_report(spark, folder)
+    absent = reports.read_report(spark, f"{path}-absent", schema)
+    return reports.read_report(spark, path, schema).unionByName(absent)
+
+
+@query
+def model_metrics(spark, folder):
+    path, schema = _comparison_report(spark, folder)
+    return serving.model_metrics(reports.read_report(spark, path, schema))
+
+
 @query
 def threshold_sweep(spark, folder):
     return metrics.threshold_sweep(_scored(spark, folder))
