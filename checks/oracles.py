@@ -108,7 +108,8 @@ feed AS (
               WHEN l_quantity = 50 AND l_partkey % 7 = 0 THEN 5000 ELSE l_quantity END AS INTEGER)
            AS "Quantity",
          day AS "InvoiceDate",
-         CASE WHEN l_orderkey % 53 = 0 THEN 0e0 ELSE unit_price END AS "Price",
+         CASE WHEN l_orderkey % 53 = 0 THEN 0e0 WHEN l_partkey % 89 = 0 THEN 0.004e0
+              WHEN l_partkey % 83 = 0 THEN 0.015e0 ELSE unit_price END AS "Price",
          CASE WHEN l_orderkey % 9 <> 0 THEN CAST(o_custkey AS DOUBLE) END AS "Customer ID",
          ({COUNTRIES!r})[c_nationkey + 1] AS "Country"
   FROM sale_lines JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey),
@@ -136,7 +137,7 @@ capped AS (
   SELECT moved.* REPLACE (CAST(greatest(least(quantity, hi), lo) AS INTEGER) AS quantity)
   FROM moved, bounds),
 totalled AS (
-  SELECT * REPLACE (CAST(price AS DECIMAL(10,2)) AS price),
+  SELECT * REPLACE (CAST(price AS DECIMAL(18,6)) AS price),
          CAST(quantity * CAST(price AS DECIMAL(18,6)) AS DECIMAL(12,2)) AS total_amount FROM capped),
 cleaned AS (SELECT * REPLACE (CAST(customer_id AS BIGINT) AS customer_id) FROM totalled)"""
 
@@ -157,8 +158,8 @@ named AS (
 dim_products AS (
   SELECT row_number() OVER (ORDER BY stock_code COLLATE "C") AS product_id, stock_code, description,
          CAST(NULL AS VARCHAR) AS category, avg_unit_price
-  FROM named JOIN (SELECT stock_code, (2 * CAST(sum(price) * 100 AS HUGEINT) + count(price))
-                          // (2 * count(price)) / 1e2 AS avg_unit_price
+  FROM named JOIN (SELECT stock_code, (2 * CAST(sum(price) * 1000000 AS HUGEINT) + 10000 * count(price))
+                          // (20000 * count(price)) / 1e2 AS avg_unit_price
                    FROM cleaned WHERE NOT is_return GROUP BY 1) USING (stock_code)),
 regions AS (
   SELECT unnest({list(COUNTRY_REGION)!r}) AS country, unnest({list(COUNTRY_REGION.values())!r}) AS region),
@@ -246,7 +247,7 @@ _CONTENT = " || '|' || ".join(
 ORACLES["fact_transactions"] = built(
     f"""SELECT row_number() OVER (ORDER BY date_id, bucket, digest) AS transaction_id,
        invoice AS invoice_no, customer_id, product_id, date_id, quantity,
-       CAST(price AS DOUBLE) AS unit_price, CAST(total_amount AS DOUBLE) AS total_amount, is_return
+       CAST(CAST(price AS DECIMAL(10,2)) AS DOUBLE) AS unit_price, CAST(total_amount AS DOUBLE) AS total_amount, is_return
 FROM (SELECT *, {hash32('content')} % 64 AS bucket, md5(content) AS digest
       FROM (SELECT c.*, p.product_id, d.date_id, {_CONTENT} AS content
             FROM cleaned c JOIN dim_products p ON c.stock_code = p.stock_code

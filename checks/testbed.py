@@ -130,7 +130,11 @@ def raw_parts(spark: SparkSession, folder: str) -> list[DataFrame]:
         F.when(part % 5 == 0, padded).otherwise(F.col("p_name")).alias("Description"),
         F.when(F.col("is_return"), -size).otherwise(size).alias("Quantity"),
         F.col("o_orderdate").cast("timestamp").alias("InvoiceDate"),
-        F.when(order % 53 == 0, 0.0).otherwise(_unit_price()).alias("Price"),
+        F.when(order % 53 == 0, 0.0)
+        .when(part % 89 == 0, 0.004)
+        .when(part % 83 == 0, 0.015)
+        .otherwise(_unit_price())
+        .alias("Price"),
         F.when(order % 9 != 0, F.col("o_custkey").cast("double")).alias("Customer ID"),
         F.element_at(names, F.col("c_nationkey") + 1).alias("Country"),
     )

@@ -23,7 +23,7 @@ def cleaned(spark, lines):
         "invoice string, stock_code string, description string, quantity int, invoice_date timestamp, "
         "price double, customer_id long, country string, is_return boolean, total_amount double",
     )
-    return frame.withColumn("price", F.col("price").cast("decimal(10,2)")).withColumn(
+    return frame.withColumn("price", F.col("price").cast("decimal(18,6)")).withColumn(
         "total_amount", F.col("total_amount").cast("decimal(12,2)")
     )
 

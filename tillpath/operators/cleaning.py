@@ -98,12 +98,12 @@ def cap_quantity(df: DataFrame, bounds: DataFrame) -> DataFrame:
 def add_total(df: DataFrame) -> DataFrame:
     """`total_amount` = capped quantity times price; both money columns become decimals.
 
-    The product takes the price as it came, to a millionth, and is rounded once.
+    The price is kept to a millionth, and the product is rounded once. The fact rounds the price.
     """
     exact = F.col("price").cast("decimal(18,6)")
     return df.withColumn(
         "total_amount", (F.col("quantity") * exact).cast("decimal(12,2)")
-    ).withColumn("price", F.col("price").cast("decimal(10,2)"))
+    ).withColumn("price", exact)
 
 
 def cast_customer(df: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def dim_products(lines: DataFrame, *, partitions: int | None = None) -> DataFram
     sold = lines.where(~F.col("is_return") & F.col("stock_code").isNotNull())
     spellings = sold.groupBy("stock_code", "description").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("price").cast("decimal(10,2)")).alias("price_sum"),
+        F.sum(F.col("price").cast("decimal(18,6)")).alias("price_sum"),
         F.count("price").alias("price_n"),
     )
     named = F.col("description").isNotNull()
@@ -57,7 +57,8 @@ def dim_products(lines: DataFrame, *, partitions: int | None = None) -> DataFram
     codes = spellings.groupBy("stock_code").agg(
         best.alias("best"), F.sum("price_sum").alias("price_sum"), F.sum("price_n").alias("price_n")
     )
-    total = F.col("price_sum").cast("decimal(22,2)")
+    # The quotient has 22 decimals, so that only the last step rounds to cents.
+    total = F.col("price_sum").cast("decimal(22,6)")
     mean = F.try_divide(total, F.col("price_n")).cast("decimal(10,2)")
     products = codes.select(
         "stock_code",

@@ -24,7 +24,7 @@ CLEANED = T.StructType([
     T.StructField("description", T.StringType()),
     T.StructField("quantity", T.IntegerType()),
     T.StructField("invoice_date", T.TimestampType()),
-    T.StructField("price", T.DecimalType(10, 2)),
+    T.StructField("price", T.DecimalType(18, 6)),
     T.StructField("customer_id", T.LongType()),
     T.StructField("country", T.StringType()),
     T.StructField("is_return", T.BooleanType()),
