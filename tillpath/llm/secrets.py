@@ -1,11 +1,23 @@
 """Secret scans with corpus-wide ownership frequency.
 
-Base patterns (assignments, access keys, hex runs) are found in every text with their places. A
-further pattern takes opaque mixed tokens as candidates. The value of every finding is hashed, and
+Base patterns (assignments, access keys, hex runs) are found in every text with their places.
+Further patterns take opaque tokens as candidates, each as a whole:
+
+- keys with a known prefix (`PREFIXED`), in the alphabet of that prefix;
+- tokens of 20 characters or more of letters, digits, `_`, `+` and `-` with a digit and letters of
+  both cases (`TOKEN`);
+- tokens that may also hold `/` and `.` inside and end in `=` padding (`WIDE`), which have a digit
+  and pass a test of randomness: the places where a small letter, a capital or a digit is followed
+  by one of another of these classes. Words have few of them; of random neighbours over letters and
+  digits 62 % differ, over small letters and digits 40 %. Needed is one place for every four
+  characters with letters of both cases, for every six with letters of one case. An `=` inside
+  divides a name from its value and is no part of a token.
+
+A candidate that lies inside a longer one is part of it. The value of every finding is hashed, and
 hashes are counted over the corpus by distinct documents (the repositories here) and distinct
 sources (the owners). A value that several owners show is a copied example; one that a single owner
-holds and that looks live (letters in both cases and digits) is a credential. Candidates of the
-second kind are added as spans of kind `live`; base spans always stay.
+holds and that is a candidate is a credential. Candidates of the second kind are added as spans of
+kind `live` unless a base span covers them; base spans always stay.
 
 Places come from two regular-expression functions alone: the matches, and the pieces between them,
 whose lengths add up to the offsets. Nothing leaves the JVM. Counts are aggregated in steps
@@ -33,12 +45,32 @@ ASSIGN_VALUE, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 # The order of kinds at one start.
 KINDS = ("assign", "access", "hex", "live")
 
-# Candidates of the method: whole tokens of 20 characters or more with a digit and letters of both
-# cases. The conditions are part of the pattern, so that ordinary long words are no matches.
+# Candidates of the method, see above. The conditions are part of the pattern, so that ordinary long words are no matches.
 TOKEN = (
     r"(?<![A-Za-z0-9_+-])(?=[A-Za-z_+-]*+[0-9])(?=[A-Z0-9_+-]*+[a-z])(?=[a-z0-9_+-]*+[A-Z])"
     r"[A-Za-z0-9_+-]{20,}"
 )
+# The alphabet is the class in front of each count; a longer run of it is taken to its end.
+PREFIXED = (
+    r"(?<![A-Za-z0-9])(?:[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|gh[opsur]_[A-Za-z0-9]{20,}"
+    r"|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{20,}|hf_[A-Za-z0-9]{20,}"
+    r"|xox[abeoprs]-[A-Za-z0-9-]{15,}|AIza[A-Za-z0-9_-]{30,}|ya29\.[A-Za-z0-9_-]{20,}"
+    r"|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|sk-(?:ant|proj)-[A-Za-z0-9_-]{20,}|sk-[A-Za-z0-9]{20,}"
+    r"|pypi-[A-Za-z0-9_-]{30,}|dop_v1_[0-9a-f]{32,}|shp(?:at|ca|pa|ss)_[0-9A-Fa-f]{24,}"
+    r"|dckr_pat_[A-Za-z0-9_-]{20,}|ASIA[A-Z0-9]{16,}"
+    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
+)
+# Dots before and after a token are none of it. It begins where no token goes on, so that a run is
+# looked at once; the digit is part of the pattern, the test of randomness follows.
+WIDE = (
+    r"(?<![A-Za-z0-9+/_-])(?<![A-Za-z0-9+/_-]\.{1,9})(?=[A-Za-z+/_.-]*+[0-9])"
+    r"[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{18,}[A-Za-z0-9+/_-]={0,2}"
+)
+# Every candidate holds such a run.
+_LONG = r"[A-Za-z0-9+/_.-]{20}"
+_CHANGE = r"[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])"
+# Characters for each change of class, with letters of both cases and of one.
+BOTH_CASES_EVERY, ONE_CASE_EVERY = 4, 6
 # From this many owners on a value is a copied example.
 EXAMPLE_OWNERS = 3
 
@@ -83,6 +115,22 @@ def _spans(text: str, pattern: str, rank: int, value_group: int = 0) -> Column:
     return walked["spans"]
 
 
+def _random(value: Column) -> Column:
+    changes = F.regexp_count(value, _literal(_CHANGE))
+    both = value.rlike("[a-z]") & value.rlike("[A-Z]")
+    return changes * F.when(both, BOTH_CASES_EVERY).otherwise(ONE_CASE_EVERY) >= F.char_length(value)
+
+
+def _candidates() -> Column:
+    """The candidates of the column `_text`, also those inside a longer one."""
+    wide = F.filter(_spans("_text", WIDE, 3), lambda s: _random(s["value"]))
+    return F.array_distinct(F.concat(_spans("_text", PREFIXED, 3), _spans("_text", TOKEN, 3), wide))
+
+
+def _covers(outer: Column, inner: Column) -> Column:
+    return (outer["start"] <= inner["start"]) & (inner["end"] <= outer["end"])
+
+
 def _none() -> Column:
     return F.expr(f"cast(array() as {_SPAN})")
 
@@ -115,23 +163,23 @@ def findings(docs: DataFrame) -> DataFrame:
     )
     access = F.filter(_spans("_text", ACCESS, 1), lambda s: s["end"] - s["start"] >= ACCESS_CHARS)
     runs = F.filter(_spans("_text", HEX, 2), lambda s: s["end"] - s["start"] >= HEX_CHARS)
-    tokens = _spans("_text", TOKEN, 3)
     return texts.select(
         "_row", "doc_id", "source",
         F.when(worded, assign).otherwise(_none()).alias("assign"),
         F.when(F.contains("_text", F.lit("AKIA")), access).otherwise(_none()).alias("access"),
         F.when(F.col("_text").rlike(f"[0-9a-f]{{{HEX_CHARS}}}"), runs).otherwise(_none()).alias("hex"),
-        F.when(F.col("_text").rlike(TOKEN), tokens).otherwise(_none()).alias("tokens"),
+        F.when(F.col("_text").rlike(_LONG), _candidates()).otherwise(_none()).alias("tokens"),
     )
 
 
 def _apart(found: DataFrame) -> DataFrame:
-    """Adds `base`, all base spans, and leaves the tokens that overlap none of them."""
+    """Adds `base`, all base spans, and leaves the tokens that neither one of them nor a longer token covers."""
     return found.withColumn("base", F.concat("assign", "access", "hex")).withColumn(
         "tokens",
         F.filter(
             "tokens",
-            lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
+            lambda t: ~F.exists("base", lambda b: _covers(b, t))
+            & ~F.exists("tokens", lambda o: (o != t) & _covers(o, t)),
         ),
     )
 
