@@ -115,3 +115,12 @@ def test_live_looking_keys_are_masked_whole(make_docs):
         "Docs/Readme.Of/The.Example2/Text", "12345678901234567890123", "____________________1", "." * 30 + "a1", "a." * 40000 + "1",
     ]
     assert not any(r.spans for r in secrets.scan(make_docs(list(enumerate(plain)))).collect())
+
+
+def test_a_value_of_many_documents_of_one_owner_is_an_example(make_docs):
+    sample, nine, one = "Zx9" * 8, "Qw7" * 8, "Er5" * 8
+    rows = [(i, f"key {sample} end", "hot") for i in range(10)] + [(i, f"key {nine}", "hot") for i in range(20, 29)]
+    # Rows of one document count once, also under two owners.
+    rows += [(40, f"key {one}", "hot")] * 9 + [(40, f"key {one}", "s")] * 9
+    got = {r.doc_id: (r.n_live, r.n_example) for r in secrets.scan(make_docs(rows)).collect()}
+    assert got == {**{i: (0, 1) for i in range(10)}, **{i: (1, 0) for i in range(20, 29)}, 40: (1, 0)}

@@ -15,18 +15,18 @@ Further patterns take opaque tokens as candidates, each as a whole:
 
 A candidate that lies inside a longer one is part of it. The value of every finding is hashed, and
 hashes are counted over the corpus by distinct documents (the repositories here) and distinct
-sources (the owners). A value that several owners show is a copied example; one that a single owner
-holds and that is a candidate is a credential. Candidates of the second kind are added as spans of
+sources (the owners). A value that several owners show, or very many documents of few owners, is a
+copied example; any other that is a candidate is a credential. Candidates of the second kind are added as spans of
 kind `live` unless a base span covers them; base spans always stay.
 
 Places come from two regular-expression functions alone: the matches, and the pieces between them,
 whose lengths add up to the offsets. Nothing leaves the JVM. Counts are aggregated in steps
-(value, owner, document), then (value, owner), then value, each combined before its shuffle, so a
-value that a third of the corpus holds is one row per task.
+(value, owner or document), then value, each combined before its shuffle, so a value that a third of
+the corpus holds is one row per task.
 
 Edge cases: NULL and empty texts have no spans; the digest of no spans is that of the empty string.
 Every row of the input gives a row, repeated doc_ids too (a repeated document counts once towards
-the frequency). A NULL source is an owner of its own. Other columns are ignored.
+the frequency, and so do all rows without doc_id). A NULL source is an owner of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,8 +71,8 @@ _LONG = r"[A-Za-z0-9+/_.-]{20}"
 _CHANGE = r"[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])"
 # Characters for each change of class, with letters of both cases and of one.
 BOTH_CASES_EVERY, ONE_CASE_EVERY = 4, 6
-# From this many owners on a value is a copied example.
-EXAMPLE_OWNERS = 3
+# From this many owners on, or from this many documents on, a value is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_DOCUMENTS = 3, 10
 
 _SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
@@ -189,19 +189,20 @@ def ownership(found: DataFrame) -> DataFrame:
     values = found.where(F.size("base") + F.size("tokens") > 0).select(
         "doc_id", "source", F.explode(F.concat("base", "tokens")).alias("s")
     ).select(F.sha2("s.value", 256).alias("value_hash"), "source", "doc_id")
-    # Two counts by plain aggregates: a document belongs to one owner.
-    single = values.distinct()
-    owned = single.groupBy("value_hash", "source").agg(F.count(F.lit(1)).alias("n"))
-    return owned.groupBy("value_hash").agg(
-        F.sum("n").alias("n_documents"), F.count(F.lit(1)).alias("n_owners")
+    # Structs, as NULL is an owner and a document too.
+    return values.groupBy("value_hash").agg(
+        F.count_distinct(F.struct("doc_id")).alias("n_documents"),
+        F.count_distinct(F.struct("source")).alias("n_owners"),
     )
 
 
-def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(
+    docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_documents: int = EXAMPLE_DOCUMENTS
+) -> DataFrame:
     """Per row of `docs`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
     `n_live` counts the added spans, `n_example` the findings whose value at least
-    `example_owners` owners show.
+    `example_owners` owners or `example_documents` documents show.
     """
     # Stored before anything is derived from it: each pattern runs once per text.
     found = _apart(stage(findings(docs), "secret-findings"))
@@ -209,7 +210,7 @@ def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     each = found.where(F.size("base") + F.size("tokens") > 0).select(
         "_row", F.explode(F.concat("base", "tokens")).alias("s")
     ).withColumn("value_hash", F.sha2("s.value", 256))
-    copied = F.col("n_owners") >= example_owners
+    copied = (F.col("n_owners") >= example_owners) | (F.col("n_documents") >= example_documents)
     live = (F.col("s.rank") == 3) & ~copied
     per_row = each.join(holders, "value_hash").groupBy("_row").agg(
         F.collect_list(F.when(live, F.col("s"))).alias("live"),
@@ -233,10 +234,13 @@ def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, mark: str = "[SECRET]") -> DataFrame:
+def redact(
+    docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, mark: str = "[SECRET]",
+    example_documents: int = EXAMPLE_DOCUMENTS,
+) -> DataFrame:
     """`docs` with every span of `scan` replaced by `mark`; n_chars follows the text."""
     spans = stage(
-        scan(docs, example_owners).where("spans != ''").groupBy("doc_id").agg(F.max("spans").alias("_spans")),
+        scan(docs, example_owners, example_documents).where("spans != ''").groupBy("doc_id").agg(F.max("spans").alias("_spans")),
         "secret-spans",
     )
     joined = docs.join(spans, "doc_id", "left")
