@@ -7,6 +7,7 @@ import random
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tillpath.llm import bpe, token_counts
 from tillpath.llm.tokens import byte_level_encoder, library_tokenizer, rank_encoding, rank_ids, word_encoder, _byte_letters
@@ -142,3 +143,16 @@ def test_edits_table_and_revision(spark, some_docs, odd_docs, make_docs):
         assert sorted((repr(r.doc_id), r.n_tokens_before) for r in rows) == old
         assert all(r.n_tokens == count(r.text) and r.text.endswith("revision.") for r in rows)
     assert token_counts.build_trees(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name, encoder", [("byte_bpe_50k.json", byte_level_encoder), ("word_bpe_49k.json", word_encoder)])
+def test_added_tokens_in_a_text_give_their_ids(name, encoder):
+    path = public_tokenizers.path(name)
+    own, plain = encoder(path), Tokenizer.from_file(path)
+    texts = ["hi <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b.", "A <|ENDOFTEXT|>! <|endoftext|>, don<|endoftext|>'t"]
+    rng = random.Random(5)
+    parts = [*PARTS, "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "endoftext", "."]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(1500)]
+    for text in texts:
+        assert list(memoryview(own(text)).cast("I")) == plain.encode(text, add_special_tokens=False).ids, text
+    assert list(memoryview(own(texts[0])).cast("I")) == ([5303, 220, 50256, 2124] if "50k" in name else [1883, 49407, 343])

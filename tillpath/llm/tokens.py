@@ -2,7 +2,8 @@
 
 The ids are those of the libraries for the whole text. A byte-level tokenizer file whose merges make
 one token each, in the order of the ids, is the same thing as a table of ranks, and is read as one:
-the encoder of ranks is several times faster. For a file of word pieces, texts are cut into units
+the encoder of ranks is several times faster. Added tokens of a tokenizer file, which the library takes
+from a text before anything else, are cut out there too. For a file of word pieces, texts are cut into units
 that cannot influence one another, and the ids of a unit are remembered per worker process, in a
 table that is emptied when it is full.
 """
@@ -30,7 +31,7 @@ _LONG_WHITE = regex.compile(r"\p{White_Space}{20000,}")
 
 @cache
 def rank_encoding(path: str) -> tiktoken.Encoding:
-    """The encoding of a rank file, or of a byte-level tokenizer file; it has no special tokens."""
+    """The encoding of a rank file, or of a byte-level tokenizer file without its added tokens."""
     if path.endswith(".json"):
         ranks = _ranks_of(path)
     else:
@@ -76,11 +77,24 @@ def rank_ids(encoding: tiktoken.Encoding, text: str) -> list[int]:
 
 @cache
 def library_tokenizer(path: str) -> Tokenizer:
-    """A tokenizer file; the strings of special tokens in a text are ordinary text."""
+    """A tokenizer file as it is: the strings of its added tokens in a text give their ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+@cache
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file and their ids; none for a file of ranks.
+
+    They must be plain strings, taken from the text as it stands, with nothing around them.
+    """
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(a[flag] for a in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path} has added tokens that are no plain strings")
+    return {a["content"]: a["id"] for a in added}
 
 
 # A single space between two characters that are no white space always begins a pre-token of the
@@ -104,11 +118,19 @@ class UnitEncoder:
     """Ids of whole texts through a tokenizer file and remembered units."""
 
     def __init__(self, path: str, units, fold=None) -> None:
-        """`fold` maps a unit to units with the same ids, of which fewer exist."""
+        """`fold` maps a unit to units with the same ids, of which fewer exist.
+
+        Units may not cut an added token. Those that hold one, or would once lower-cased, are not folded.
+        """
+        self._added = tuple(a.lower() for a in added_tokens(path))
         self._tokenizer = library_tokenizer(path)
         self._units, self._fold = units, fold
         self._known: dict[str, bytes] = {}
 
+    def _folded(self, unit: str) -> tuple[str, ...]:
+        low = unit.lower()
+        return (unit,) if any(a in low for a in self._added) else self._fold(unit)
+
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         known = self._known
@@ -117,7 +139,7 @@ class UnitEncoder:
         units = self._units(text)
         missing = set(units).difference(known)
         if missing:
-            folded = {u: self._fold(u) for u in missing} if self._fold else {}
+            folded = {u: self._folded(u) for u in missing} if self._fold else {}
             plain = missing if not folded else {p for parts in folded.values() for p in parts}.difference(known)
             plain = list(plain)
             encoded = self._tokenizer.encode_batch_fast(plain, add_special_tokens=False)
@@ -144,8 +166,21 @@ def folded_word(unit: str) -> tuple[str, ...]:
 @cache
 def byte_level_encoder(path: str):
     """A function from a text to its ids as little-endian unsigned 32-bit integers."""
-    encoding = rank_encoding(path)
-    return lambda text: array("I", rank_ids(encoding, text)).tobytes()
+    encoding, added = rank_encoding(path), added_tokens(path)
+    if not added:
+        return lambda text: array("I", rank_ids(encoding, text)).tobytes()
+    # The leftmost, and of several there the longest.
+    cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode(text: str) -> bytes:
+        first, *rest = cuts.split(text)
+        ids = array("I", rank_ids(encoding, first))
+        for name, part in zip(rest[::2], rest[1::2]):
+            ids.append(added[name])
+            ids.extend(rank_ids(encoding, part))
+        return ids.tobytes()
+
+    return encode
 
 
 @cache
