@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from tillpath.llm import packing, quality_rules, secrets, simhash
+from tillpath.llm import exact_dedup, packing, quality_rules, secrets, simhash
 from tillpath.llm.text_features import vector
 from tillpath.llm.tokens import library_tokenizer
 
@@ -74,3 +74,36 @@ def test_stages_return_documents_and_survive_odd_rows(spark, odd_docs):
             if name != "best_fit_packing":
                 assert docs.columns == table.columns
         docs.count()
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def contents(spark, step, rows):
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    return sorted(((r.doc_id, r.text) for r in step(docs).collect()), key=repr)
+
+
+def test_null_and_repeated_ids_get_their_own_decision(spark):
+    words = [" ".join(f"w{(i * k * k + 7 * i) % 997}" for i in range(1, 40)) for k in range(4)]
+    plain = lambda doc, text: (doc, text, "en", "s", len(text))
+    # A unique text under the id of a copy; a whole row twice; copies without an id.
+    pairs = [(7, words[0]), (7, words[1]), (3, words[1]), (5, words[2]), (5, words[2]), (None, words[3]), (None, words[3]), (None, words[1])]
+    want = sorted([(7, words[0]), (3, words[1]), (5, words[2]), (None, words[3])], key=repr)
+    rows = [plain(*p) for p in pairs]
+    assert contents(spark, exact_dedup.drop_copies, rows) == want
+    assert contents(spark, simhash.drop_near_copies, rows) == want
+    secret = ["token=" + c * 30 for c in "abc"]
+    rows = [plain(None, f"x {secret[0]} y"), plain(4, f"{secret[1]} tail"), plain(4, f"long head {secret[2]}"), plain(4, "clean text of the same id")]
+    assert contents(spark, secrets.redact, rows) == sorted(
+        [(None, "x [SECRET] y"), (4, "[SECRET] tail"), (4, "long head [SECRET]"), (4, "clean text of the same id")], key=repr
+    )
+
+
+def test_odd_rows_keep_their_texts(spark, odd_docs):
+    keys = lambda rows: sorted(re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in rows)
+    once = exact_dedup.drop_copies(odd_docs.unionByName(odd_docs)).collect()
+    assert keys(once) == sorted({*keys(odd_docs.collect())})
+    assert sum(r.doc_id == 11 for r in once) == 2
+    masked = secrets.redact(odd_docs).collect()
+    assert sorted(map(repr, masked)) == sorted(map(repr, odd_docs.collect()))

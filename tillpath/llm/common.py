@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpath.session import cut
+from tillpath.session import cut, stage
 
 # Words are separated by these characters only (space, tab, line feed, vertical tab, form feed,
 # carriage return), in regular expressions and in bytes.split().
@@ -28,6 +28,15 @@ def small(stream, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+# The column that names a row, whatever its doc_id is.
+ROW_KEY = "_row_key"
+
+
+def with_row_keys(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a number per row in `ROW_KEY`, stored, so that every reader sees the same numbers."""
+    return stage(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), name)
+
+
 def hot_keys(keys: DataFrame, columns: list[str], least: int = 1000, most: int = 1000) -> DataFrame:
     """The up to `most` most frequent keys with at least `least` rows, checkpointed.
 

@@ -12,7 +12,7 @@ attached by a broadcast join, so their rows move without content and spread even
 
 Edge cases: NULL and empty texts and texts of white space only are one group (they normalise to
 the empty text). Rows that repeat a doc_id count as rows of the group and share the fate of that
-document. NULL doc_ids sort last among equals. An empty table gives no rows. Other columns of the
+document; `drop_copies` goes by rows and leaves one of each group. NULL doc_ids sort last among equals. An empty table gives no rows. Other columns of the
 input are ignored.
 """
 
@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillpath.llm.common import SPACES, hot_keys, text_of
+from tillpath.llm.common import ROW_KEY, SPACES, hot_keys, text_of, with_row_keys
 from tillpath.session import cut, stage
 
 BLOCK_CHARS = 4096
@@ -64,12 +64,12 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.withColumn("_name", name).drop("_hash", "_hot_name", "_bucket", *keys)
 
 
-def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_chars, text_sha256 and its identity (`level`, `name`)."""
+def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per row of `docs`: the columns `keep`, n_chars, text_sha256 and its identity (`level`, `name`)."""
     plain = F.regexp_replace(F.col("_text"), f"{SPACES}+", "")
     whole = docs.select(
-        "doc_id", F.monotonically_increasing_id().alias("_row"), text_of().alias("_text")
-    ).select("doc_id", "_row", F.char_length("_text").alias("n_chars"), plain.alias("_plain"))
+        *keep, F.monotonically_increasing_id().alias("_row"), text_of().alias("_text")
+    ).select(*keep, "_row", F.char_length("_text").alias("n_chars"), plain.alias("_plain"))
     size = F.char_length("_plain")
     cuts = F.greatest(F.ceil(size / F.lit(block_chars)), F.lit(1)).cast("int")
     blocks = whole.select("*", cuts.alias("_n")).select(
@@ -77,7 +77,7 @@ def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_pos"),
     ).select(
         "_row", "_n", "_pos",
-        F.when(F.col("_pos") == 0, F.struct("doc_id", "n_chars", F.sha2("_plain", 256).alias("text_sha256")))
+        F.when(F.col("_pos") == 0, F.struct(*keep, "n_chars", F.sha2("_plain", 256).alias("text_sha256")))
         .alias("_doc"),
         F.when(F.col("_n") == 1, F.col("_plain"))
         .otherwise(F.expr(f"substring(_plain, _pos * {block_chars} + 1, {block_chars})"))
@@ -85,7 +85,7 @@ def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     )
     level0 = stage(_named(blocks, ["_block"]), "block-names")
     heads = level0.where("_pos = 0").select("_row", "_doc.*", "_n", "_name")
-    columns = ["doc_id", "n_chars", "text_sha256"]
+    columns = [*keep, "n_chars", "text_sha256"]
     done = [heads.where("_n = 1").select(*columns, F.lit(0).alias("level"), F.col("_name").alias("name"))]
     longest = level0.agg(F.max("_n")).first()[0] or 1
     if longest > 1:
@@ -128,6 +128,15 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """`docs` without the rows that `exact_dedup` does not keep."""
-    dropped = stage(exact_dedup(docs, block_chars).where(~F.col("kept")).select("doc_id"), "exact-copies")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of every group of equal texts, the one of `keep_id`; of its rows any one.
+
+    Rows are told apart by a key of their own: doc_ids may be NULL or repeated.
+    """
+    rows = with_row_keys(docs, "exact-rows")
+    known = identities(rows, block_chars, ("doc_id", ROW_KEY))
+    order = F.struct(
+        (-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"),
+        F.col(ROW_KEY).alias("d"),
+    )
+    kept = stage(known.groupBy("level", "name").agg(F.min(order)["d"].alias(ROW_KEY)).select(ROW_KEY), "exact-kept")
+    return rows.join(kept, ROW_KEY, "left_semi").select(*docs.columns)

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillpath.llm.common import text_of
+from tillpath.llm.common import ROW_KEY, text_of, with_row_keys
 from tillpath.session import stage
 
 # The base patterns and their least lengths.
@@ -151,7 +151,7 @@ def findings(docs: DataFrame) -> DataFrame:
     texts = docs.select(
         "doc_id",
         F.col("source") if "source" in docs.columns else F.lit(None).cast("string").alias("source"),
-        F.monotonically_increasing_id().alias("_row"),
+        (F.col(ROW_KEY) if ROW_KEY in docs.columns else F.monotonically_increasing_id()).alias("_row"),
         text_of().alias("_text"),
     )
     low = F.lower("_text")
@@ -204,6 +204,11 @@ def scan(
     `n_live` counts the added spans, `n_example` the findings whose value at least
     `example_owners` owners or `example_documents` documents show.
     """
+    return _scanned(docs, example_owners, example_documents).drop("_row")
+
+
+def _scanned(docs: DataFrame, example_owners: int, example_documents: int) -> DataFrame:
+    """The columns of `scan` and `_row`, which is the row key where `docs` has one."""
     # Stored before anything is derived from it: each pattern runs once per text.
     found = _apart(stage(findings(docs), "secret-findings"))
     holders = ownership(found)
@@ -223,7 +228,7 @@ def scan(
         misses.withColumn("live", _none()).withColumn("n_example", F.lit(0).cast("long"))
     )
     return joined.select(
-        "doc_id",
+        "_row", "doc_id",
         F.size("assign").cast("long").alias("n_assign"),
         F.size("access").cast("long").alias("n_access"),
         F.size("hex").cast("long").alias("n_hex"),
@@ -238,12 +243,14 @@ def redact(
     docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, mark: str = "[SECRET]",
     example_documents: int = EXAMPLE_DOCUMENTS,
 ) -> DataFrame:
-    """`docs` with every span of `scan` replaced by `mark`; n_chars follows the text."""
-    spans = stage(
-        scan(docs, example_owners, example_documents).where("spans != ''").groupBy("doc_id").agg(F.max("spans").alias("_spans")),
-        "secret-spans",
-    )
-    joined = docs.join(spans, "doc_id", "left")
+    """`docs` with every span of `scan` replaced by `mark`; n_chars follows the text.
+
+    Every row gets its own spans: rows are told apart by a key, as doc_ids may be NULL or repeated.
+    """
+    rows = with_row_keys(docs, "secret-rows")
+    found = _scanned(rows, example_owners, example_documents).where("spans != ''")
+    spans = stage(found.select(F.col("_row").alias(ROW_KEY), F.col("spans").alias("_spans")), "secret-spans")
+    joined = rows.join(spans, ROW_KEY, "left")
     places = F.transform(
         F.split("_spans", ","),
         lambda s: F.struct(

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillpath.llm.common import components, small, text_of
+from tillpath.llm.common import ROW_KEY, components, small, text_of, with_row_keys
 from tillpath.session import stage
 
 SHINGLE_WORDS, MAX_BITS, HASH_SEED = 3, 3, 42
@@ -80,19 +80,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and `fp` (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` (longs) and `fp` (the fingerprint as a signed long) of every row."""
 
     def batches(stream):
         for batch in small(stream):
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(len(keep)).cast(pa.binary()).to_pylist()
             values = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"]
+                [*batch.columns[:-1], pa.array(values.view(np.int64))], [*keep, "fp"]
             )
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return plain.mapInArrow(batches, "doc_id long, fp long")
+    plain = docs.select(*[F.col(k).cast("long").alias(k) for k in keep], text_of().alias("text"))
+    return plain.mapInArrow(batches, ", ".join(f"{k} long" for k in [*keep, "fp"]))
 
 
 @cache
@@ -225,29 +225,39 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return direct.unionByName(hung).distinct()
 
 
-def near_dedup(docs: DataFrame, shingle: int = SHINGLE_WORDS, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fingerprint and component_id for every row of `docs`."""
-    printed = stage(fingerprints(docs, shingle), "fingerprints")
+def _grouped(printed: DataFrame, bucket: int) -> DataFrame:
+    """Per fingerprint of `printed` (doc_id, fp) its component_id and, as that may be NULL, the component itself."""
     classes = stage(printed.groupBy("fp").agg(F.min("doc_id").alias("_first")), "fingerprint-classes")
     grouped = components(links(classes, bucket))
     # Names of components: the smallest document over the fingerprints of a component.
     linked = classes.join(grouped.withColumnRenamed("node", "fp"), "fp")
     named = linked.groupBy("component").agg(F.min("_first").alias("_smallest"))
     renamed = stage(
-        linked.join(named, "component").select("fp", F.col("_smallest").alias("_component")), "simhash-components"
+        linked.join(named, "component").select("fp", "component", "_smallest"), "simhash-components"
     )
     # One row per fingerprint first, then to the documents.
-    final = classes.join(renamed, "fp", "left").select(
-        "fp", F.coalesce("_component", "_first").alias("component_id")
+    return classes.join(renamed, "fp", "left").select(
+        "fp", F.coalesce("_smallest", "_first").alias("component_id"), F.coalesce("component", "fp").alias("component")
     )
-    return printed.join(final, "fp").select(
+
+
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE_WORDS, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, fingerprint and component_id for every row of `docs`."""
+    printed = stage(fingerprints(docs, shingle), "fingerprints")
+    return printed.join(_grouped(printed, bucket), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE_WORDS, bucket: int = BUCKET) -> DataFrame:
-    """`docs` with the document of the smallest doc_id of every component only."""
-    dropped = stage(
-        near_dedup(docs, shingle, bucket).where("doc_id != component_id").select("doc_id"), "near-copies"
-    )
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of every component, of those with its smallest doc_id any one.
+
+    Rows are told apart by a key of their own: doc_ids may be NULL or repeated.
+    """
+    rows = with_row_keys(docs, "near-rows")
+    printed = stage(fingerprints(rows, shingle, ("doc_id", ROW_KEY)), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(ROW_KEY).alias("c"))
+    # One row per fingerprint first, as in the classes.
+    least = printed.groupBy("fp").agg(F.min(order).alias("_least"))
+    best = least.join(_grouped(printed, bucket), "fp").groupBy("component").agg(F.min("_least")["c"].alias(ROW_KEY))
+    return rows.join(stage(best.select(ROW_KEY), "near-kept"), ROW_KEY, "left_semi").select(*docs.columns)
