@@ -100,3 +100,14 @@ def test_odd_rows_empty_tables_and_other_columns(spark, odd_docs):
         assert kept.columns == wide.columns and kept.count() == sum(r.kept for r in judged)
     assert pu.classify(odd_docs.limit(0), labels).count() == 0
     assert qr.quality_rules(odd_docs.limit(0), labels).count() == 0
+
+
+def test_sample_takes_one_row_per_doc_id(spark, make_docs):
+    texts = [(i, f"text number {i}") for i in range(5)] + [(1, f"again {k}") for k in range(200)]
+    docs = make_docs(texts)
+    kept = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, value int")
+    data, values = tf.sample(docs, kept)
+    assert values.tolist() == [0, 1, 0, 1, 0]
+    hashes = {r.text: r.h for r in docs.where("doc_id = 1").select("text", F.xxhash64("text").alias("h")).collect()}
+    chosen = [texts[0][1], min(hashes, key=hashes.get), *[t for _, t in texts[2:5]]]
+    assert (data == np.stack([tf.vector(t.encode()) for t in chosen])).all()

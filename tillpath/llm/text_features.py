@@ -76,12 +76,15 @@ def vector(data: bytes, words: list[bytes] | None = None) -> np.ndarray:
 def sample(docs: DataFrame, kept: DataFrame, most: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Vectors and values of up to `most` rows of `docs` that `kept` (doc_id, value) names.
 
-    Rows are taken by the hash of doc_id, so the sample depends on the ids alone. One row per doc_id.
+    Rows are taken by the hash of doc_id, so the sample depends on the ids alone. One row per doc_id, that
+    with the smallest hash of its text, however many rows repeat it.
     """
     names = kept.where("doc_id IS NOT NULL AND value IS NOT NULL").groupBy("doc_id").agg(F.max("value").alias("value"))
     chosen = names.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # At most `most` rows.
+    # At most `most` rows; the repeated ones are reduced before vectors are made.
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    first = F.struct(F.xxhash64("text").alias("hash"), "text")
+    rows = rows.groupBy("doc_id", "value").agg(F.min(first)["text"].alias("text"))
 
     def batches(stream):
         for batch in small(stream):
