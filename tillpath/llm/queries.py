@@ -73,4 +73,14 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe, op3_token_counts, op4_quality_classifier, op5_exact_dedup, op6_token_files, op7_secret_scans, op8_best_fit_packing, op9_quality_rules, op10_sharding)}
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The runs of every document once one in ten has got a stretch that repeats."""
+    from tillpath.llm.periodic_runs import periodic_runs, planted
+
+    return periodic_runs(read_table(spark, folder, "documents"), planted, texts=False).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256",
+        "n_words", "n_kept_words"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe, op3_token_counts, op4_quality_classifier, op5_exact_dedup, op6_token_files, op7_secret_scans, op8_best_fit_packing, op9_quality_rules, op10_sharding, op11_periodic_runs)}
