@@ -89,4 +89,10 @@ def op12_cross_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return cross_alignment(read_table(spark, folder, "documents"), texts=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe, op3_token_counts, op4_quality_classifier, op5_exact_dedup, op6_token_files, op7_secret_scans, op8_best_fit_packing, op9_quality_rules, op10_sharding, op11_periodic_runs, op12_cross_alignment)}
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from tillpath.llm.language_mixture import language_id
+
+    return language_id(read_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe, op3_token_counts, op4_quality_classifier, op5_exact_dedup, op6_token_files, op7_secret_scans, op8_best_fit_packing, op9_quality_rules, op10_sharding, op11_periodic_runs, op12_cross_alignment, op13_language_id)}
