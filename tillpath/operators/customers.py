@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpath.config import DEFAULTS, Settings
-from tillpath.functions.numeric import half_up, ntile, percent, ratio
+from tillpath.functions.numeric import half_up, percent, ratio
 from tillpath.functions.text import tenure_bucket
 from tillpath.operators.orders import (
     invoices,
@@ -18,7 +18,8 @@ from tillpath.operators.orders import (
     sold,
     with_calendar,
 )
-from tillpath.operators.ranking import dense_key, exact_quantiles
+from tillpath.operators.ranking import exact_quantiles
+from tillpath.operators.selection import bounds, group_of, sortable
 from tillpath.session import cut
 
 
@@ -27,33 +28,43 @@ def _tenure() -> Column:
 
 
 def customer_ltv(fact: DataFrame, dates: DataFrame, customers: DataFrame) -> DataFrame:
-    """Historical value per customer. Lines are merged per (customer, invoice) first.
+    """Historical value per customer.
 
-    An invoice then goes on as one row per day it has (one, as a rule) and counts on the first of
-    them, which leaves the days as the only distinct count.
+    Lines are merged per (customer, invoice, day) and stored. Orders and active days are two plain counts from
+    the stored rows, each over keys of two parts first, so that nothing is counted distinct and a customer
+    with very many lines is spread.
     """
-    merged = (
+    daily = cut(
         with_calendar(fact, dates, "full_date")
-        .groupBy("customer_id", "invoice_no")
+        .groupBy("customer_id", "invoice_no", "full_date")
         .agg(
             money(F.sum(sold("total_amount"))).alias("sold_amount"),
             money(F.sum(returned("total_amount"))).alias("returned_amount"),
             F.bool_or("is_return").alias("has_return"),
             F.bool_or(~F.col("is_return")).alias("has_sale"),
-            F.collect_set("full_date").alias("days"),
         )
     )
-    daily = merged.select("*", F.posexplode_outer("days").alias("nth", "day")).drop("days")
-    first = F.coalesce(F.col("nth"), F.lit(0)) == 0
-    known = first & F.col("invoice_no").isNotNull()
-    totals = daily.groupBy("customer_id").agg(
-        money(F.sum(F.when(first, F.col("sold_amount")))).alias("gross_revenue"),
-        money(F.sum(F.when(first, F.col("returned_amount")))).alias("return_value"),
+    orders = daily.groupBy("customer_id", "invoice_no").agg(
+        F.sum("sold_amount").alias("sold_amount"),
+        F.sum("returned_amount").alias("returned_amount"),
+        F.bool_or("has_return").alias("has_return"),
+        F.bool_or("has_sale").alias("has_sale"),
+    )
+    known = F.col("invoice_no").isNotNull()
+    totals = orders.groupBy("customer_id").agg(
+        money(F.sum("sold_amount")).alias("gross_revenue"),
+        money(F.sum("returned_amount")).alias("return_value"),
         F.count_if(known).alias("total_orders"),
         F.count_if(known & F.col("has_return")).alias("return_orders"),
         F.count_if(known & F.col("has_sale")).alias("sale_orders"),
-        F.countDistinct("day").alias("active_days"),
     )
+    active = (
+        daily.groupBy("customer_id", "full_date")
+        .agg(F.lit(1).alias("seen"))
+        .groupBy("customer_id")
+        .agg(F.count("full_date").alias("active_days"))
+    )
+    totals = totals.join(active, "customer_id")
     net = F.col("net_revenue")
     days = F.col("tenure_days")
     return (
@@ -144,20 +155,22 @@ def rfm_values(fact: DataFrame, dates: DataFrame) -> DataFrame:
 def score_rfm(
     values: DataFrame, settings: Settings = DEFAULTS, *, partitions: int | None = None
 ) -> DataFrame:
-    """Quintile scores. Each metric has its own global order; ties are split by customer."""
-    orders = {
-        "r_score": F.col("recency_days").desc(),
-        "f_score": F.col("frequency"),
-        "m_score": F.col("monetary"),
+    """Quintile scores. Each metric has its own order; ties are split by customer.
+
+    The bounds of the groups are selected by counting (see `selection`), so customers are stored once,
+    in `partitions` if given, and never sorted.
+    """
+    stored = cut(values.repartition(partitions, "customer_id") if partitions else values)
+    keys = {
+        "r_score": -sortable(stored, "recency_days"),
+        "f_score": sortable(stored, "frequency"),
+        "m_score": sortable(stored, "monetary"),
     }
-    scored = values
-    for name, order in orders.items():
-        ranked = dense_key(
-            scored, [order, "customer_id"], "_rank", total="_rows", partitions=partitions
-        )
-        score = ntile(F.col("_rank"), F.col("_rows"), settings.rfm_groups)
-        scored = ranked.withColumn(name, score).drop("_rank", "_rows")
-    return scored.withColumn("rfm_segment", F.concat_ws("-", *orders)).withColumn(
+    found = bounds(stored, keys, "customer_id", settings.rfm_groups)
+    scored = stored.withColumns(
+        {name: group_of(key, F.col("customer_id"), found[name]) for name, key in keys.items()}
+    )
+    return scored.withColumn("rfm_segment", F.concat_ws("-", *keys)).withColumn(
         "rfm_total", F.col("r_score") + F.col("f_score") + F.col("m_score")
     )
 
