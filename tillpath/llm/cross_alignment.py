@@ -89,32 +89,39 @@ def token_ids(text: str | None, first: str, second: str) -> tuple[list[int], lis
     return a, b
 
 
+def _kind(path: str) -> str:
+    """How ids are stored: in two bytes where the vocabulary allows it."""
+    return "<u2" if len(token_bytes(path)) <= 1 << 16 else "<u4"
+
+
 def encoded(docs: DataFrame, first: str, second: str) -> DataFrame:
-    """`row` (a number per row), doc_id and the ids `a` and `b` of every row, stored."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
+    """`row` (a number per row), doc_id and the ids `a` and `b` of every row as bytes, stored."""
 
     def batches(stream):
+        kinds = (_kind(first), _kind(second))
         for batch in small(stream, 64):
             both = [token_ids(text, first, second) for text in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array([x[k] for x in both], pa.list_(pa.int32())) for k in (0, 1))],
-                schema=schema,
-            )
+            data = [pa.array([np.array(x[k], kinds[k]).tobytes() for x in both], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *data], ["row", "doc_id", "a", "b"])
 
     plain = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text")
     )
-    return stage(plain.mapInArrow(batches, "row long, doc_id long, a array<int>, b array<int>"), "token-pairs")
+    return stage(plain.mapInArrow(batches, "row long, doc_id long, a binary, b binary"), "token-pairs")
+
+
+def _ids(stored: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some documents one after the other, and where each document starts (and the last ends)."""
+    data = stored.to_pylist()
+    sizes = np.fromiter(map(len, data), np.int64, len(data)) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(data), kind).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
 
 
 class Alignment:
-    """The links and groups of some documents, given the ids of both tokenizers (lists, Arrow arrays) over equal bytes."""
+    """The links and groups of some documents, given the stored ids of both tokenizers over equal bytes."""
 
-    def __init__(self, a: pa.ListArray, b: pa.ListArray, first: str, second: str) -> None:
-        self.a, self.b = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
-        self.a_starts, self.b_starts = (
-            np.concatenate(([0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64) for x in (a, b)
-        )
+    def __init__(self, a: pa.Array, b: pa.Array, first: str, second: str) -> None:
+        (self.a, self.a_starts), (self.b, self.b_starts) = _ids(a, _kind(first)), _ids(b, _kind(second))
         self.a_ends, self.b_ends = np.cumsum(_sizes(first)[self.a]), np.cumsum(_sizes(second)[self.b])
         ends = np.concatenate((self.a_ends, self.b_ends))
         ends.sort(kind="stable")  # two sorted halves
