@@ -270,6 +270,16 @@ ORACLES["star_scan"] = star(
     "FROM dated JOIN customers USING (customer_id) WHERE year >= 1995 GROUP BY 1, 2"
 )
 
+ORACLES["star_pruned"] = star("""
+SELECT region, year, count(*) AS line_count, CAST(sum(total_amount) AS DOUBLE) AS amount
+FROM dated JOIN customers USING (customer_id) WHERE quarter = 2 GROUP BY region, year""")
+
+ORACLES["feed_account"] = f"""WITH {RAW},
+first_part AS (SELECT ("Quantity" % 13 = 0)::INTEGER AS broken FROM feed WHERE "InvoiceDate" < DATE '1999-01-01')
+SELECT 'lines' AS reading, count(*) + sum(broken)::BIGINT AS lines_read, count(*) - sum(broken)::BIGINT AS lines_kept,
+       2 * sum(broken)::BIGINT AS lines_refused FROM first_part
+UNION ALL SELECT 'quoted', count(*), count(*), 0 FROM first_part"""
+
 # ---- validation -------------------------------------------------------------------------------
 
 _COUNTS = [

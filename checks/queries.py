@@ -36,6 +36,7 @@ from tillpath.operators import (
     validation,
     welch,
 )
+from tillpath.operators.orders import with_calendar
 from tillpath.schemas import Star
 from tillpath.session import cut, shared_folder
 from tillpath.sources import feeds, reports, tables
@@ -92,6 +93,21 @@ def scan_parts_union(spark, folder):
     )
 
 
+@query
+def feed_account(spark, folder):
+    """The first part as CSV, where some texts hold a line break: read by lines, and read with line breaks in quotes."""
+    first, _ = testbed.raw_parts(spark, folder)
+    broken = F.concat("Description", F.lit("\n"), "StockCode")
+    lines = first.withColumn("Description", F.when(F.col("Quantity") % 13 == 0, broken).otherwise(F.col("Description")))
+    path = os.path.join(shared_folder(spark), f"feed-{uuid.uuid4().hex}")
+    even = F.col("Quantity") % 2 == 0
+    write_feed(lines.where(even), path)
+    write_feed(lines.where(~even).select(*reversed(first.columns)), path)
+    return feeds.feed_account(feeds.read_lines(spark, [path])).select(F.lit("lines").alias("reading"), "*").unionByName(
+        feeds.feed_account(feeds.read_lines(spark, [path], multi_line=True)).select(F.lit("quoted").alias("reading"), "*")
+    )
+
+
 @query
 def required_columns(spark, folder):
     """A feed with a column too many is read; one without prices is refused, in the words of `refusal`."""
@@ -121,7 +137,7 @@ def full_refresh(spark, folder):
     lines = testbed.fact(spark, folder).withColumn("transaction_id", F.lit(0).cast("long"))
     tables.write_fact(lines, dates, path)
     written = tables.write_fact(lines, dates, path)
-    stored = spark.read.schema(tables.FACT_STORED).parquet(path)
+    stored = tables.read_table(spark, path, tables.FACT_STORED)
     return stored.groupBy("year", "month").agg(
         F.lit(written).cast("long").alias("rows_written"),
         F.count(F.lit(1)).alias("rows_read"),
@@ -132,13 +148,7 @@ def full_refresh(spark, folder):
 @query
 def star_scan(spark, folder):
     """The stored star through SQL text; the filter on the year leaves folders of the fact unread."""
-    path = os.path.join(shared_folder(spark), f"star-{uuid.uuid4().hex}")
-    made = testbed.star(spark, folder)
-    for name in tables.TABLES:
-        tables.write_dimension(getattr(made, name.removeprefix("dim_")), path, name)
-    lines = made.fact.withColumn("transaction_id", F.lit(0).cast("long"))
-    tables.write_fact(lines, made.dates, os.path.join(path, "fact_transactions"))
-    tables.register_views(tables.read_star(spark, path))
+    tables.register_views(testbed.stored_star(spark, folder))
     return spark.sql("""
         SELECT c.region, d.year, count(*) AS line_count, sum(f.total_amount) AS amount
         FROM fact_transactions f
@@ -150,6 +160,17 @@ def star_scan(spark, folder):
     """)
 
 
+@query
+def star_pruned(spark, folder):
+    """The stored star by region, for the second quarters: the filter is on the calendar, and which folders of the fact
+    are read is decided while the query runs."""
+    stored = testbed.stored_star(spark, folder)
+    lines = with_calendar(stored.fact, stored.dates.where("quarter = 2"), "year")
+    return lines.join(stored.customers.select("customer_id", "region"), "customer_id").groupBy("region", "year").agg(
+        F.count(F.lit(1)).alias("line_count"), F.sum("total_amount").alias("amount")
+    )
+
+
 @query
 def report_csv(spark, folder):
     """A report written as CSV and read back with its schema."""

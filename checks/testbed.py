@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpath.operators.star import calendar, with_demographics
 from tillpath.schemas import Star
+from tillpath.session import shared_folder
+from tillpath.sources import tables
 
 # Country names of the raw feed by nation number: most are in the region map, two are not.
 COUNTRIES = [
@@ -108,6 +111,17 @@ def star(spark: SparkSession, folder: str) -> Star:
     )
 
 
+def stored_star(spark: SparkSession, folder: str, path: str | None = None) -> Star:
+    """The star written as tables and read back."""
+    path = path or os.path.join(shared_folder(spark), f"star-{uuid.uuid4().hex}")
+    made = star(spark, folder)
+    for name in tables.TABLES:
+        tables.write_dimension(getattr(made, name.removeprefix("dim_")), path, name)
+    lines = made.fact.withColumn("transaction_id", F.lit(0).cast("long"))
+    tables.write_fact(lines, made.dates, os.path.join(path, "fact_transactions"))
+    return tables.read_star(spark, path)
+
+
 def raw_parts(spark: SparkSession, folder: str) -> list[DataFrame]:
     """The raw feed in two overlapping parts, with faults planted by key arithmetic."""
     lines = (

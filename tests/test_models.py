@@ -213,8 +213,3 @@ def test_serving(spark):
     assert rows(serving.segment_share(segments_found).select("segment_name", "share_pct")) == [("A", 77.8), ("B", 22.2)]
     plan = page.rows._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
-
-
-def test_feature_catalogue(planted):
-    found = {r["feature"]: r["description"] for r in features.feature_catalog(planted).collect()}
-    assert found["frequency"].startswith("Number of distinct orders") and "customer_id" not in found

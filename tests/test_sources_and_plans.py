@@ -17,7 +17,8 @@ from tillpath.plans.forecast import run_forecast
 from tillpath.plans.report import build_report, write_report
 from tillpath.plans.segmentation import run_segmentation
 from tillpath.operators.series import monthly_series
-from tillpath.session import shared_folder
+from tillpath.operators.orders import with_calendar
+from tillpath.session import cut, scope, settled, shared_folder, stage
 from tillpath.sources import feeds, reports, tables
 
 HEADER = list(RAW_TO_CLEAN)
@@ -70,7 +71,114 @@ def test_full_refresh_replaces_and_counts(spark, tmp_path):
     path = str(tmp_path / "t")
     assert tables.full_refresh(spark.range(10).toDF("a"), path) == 10
     assert tables.full_refresh(spark.range(3).toDF("a"), path) == 3
-    assert spark.read.parquet(path).count() == 3
+    assert tables.read_table(spark, path).count() == 3
+
+
+def test_a_failed_load_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.full_refresh(spark.range(10).toDF("a"), path)
+    before = tables.read_table(spark, path)
+    fails = F.when(F.col("id") == 900, F.raise_error(F.lit("half-way"))).otherwise(F.col("id"))
+    with pytest.raises(Exception, match="half-way"):
+        tables.full_refresh(spark.range(0, 1000, 1, 4).select(fails.cast("long").alias("a")), path)
+    assert sorted(os.listdir(path)) == sorted(["_published", os.path.basename(tables.current(spark, path))])
+    assert tables.read_table(spark, path).count() == before.count() == 10
+    # A writer that died without a chance to clean up.
+    spark.range(5).toDF("a").write.parquet(str(tmp_path / "t" / "v-dead"))
+    assert tables.read_table(spark, path).count() == 10
+
+
+def test_readers_keep_their_version_during_a_load(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        tables.read_table(spark, path)
+    tables.full_refresh(spark.range(10).toDF("a"), path)
+    old = tables.read_table(spark, path)
+    tables.full_refresh(old.where("a < 4"), path)  # a table made from its own last version
+    assert old.count() == 10 and tables.read_table(spark, path).count() == 4
+    tables.full_refresh(spark.range(2).toDF("a"), path)
+    assert len([d for d in os.listdir(path) if d.startswith("v-")]) == 2
+    assert tables.read_table(spark, path).count() == 2
+
+
+def test_scope_removes_what_it_staged(spark):
+    base = shared_folder(spark).removeprefix("file:")
+    outside = cut(spark.range(7))
+    with pytest.raises(ZeroDivisionError):
+        with scope(spark) as own:
+            inner = stage(spark.range(3), "x")
+            with scope(spark) as nested:
+                assert stage(spark.range(2), "y").count() == 2 and nested != own
+            assert not os.path.exists(nested) and inner.count() == cut(spark.range(3)).count() == 3
+            kept = settled(inner.agg(F.count("id").alias("n")))
+            1 / 0
+    assert not os.path.exists(own) and kept.first()["n"] == 3
+    assert outside.count() == 7 and os.path.exists(base)
+    assert not shared_folder(spark).removeprefix("file:").startswith(own)
+
+
+def folders(spark):
+    top = os.path.dirname(shared_folder(spark).removeprefix("file:"))
+    return {os.path.join(d, f) for d, _, files in os.walk(top) for f in files}
+
+
+def test_etl_leaves_nothing_behind(spark, tmp_path):
+    write_part(tmp_path / "a.csv", [sale(i) for i in range(40)])
+    before = folders(spark)
+    result = run_etl_from_files(spark, [str(tmp_path / "a.csv")], str(tmp_path / "star"))
+    assert folders(spark) == before
+    assert result.success and result.validation.count() == 8 and result.cleaning_report.count() == 4
+    assert (result.lines_read, result.lines_refused) == (40, 0)
+
+
+def test_calendar_filters_prune_the_stored_fact_at_run_time(spark, tmp_path):
+    lines = [sale(i, at=f"20{18 + i % 3}-{i % 12 + 1:02d}-05 10:00:00") for i in range(200)]
+    write_part(tmp_path / "a.csv", lines)
+    run_etl_from_files(spark, [str(tmp_path / "a.csv")], str(tmp_path / "star"))
+    star = tables.read_star(spark, str(tmp_path / "star"))
+    quarter = with_calendar(star.fact, star.dates.where("quarter = 3 AND year = 2019"), "full_date")
+    plan = quarter._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    want = star.fact.join(star.dates.select("date_id", "quarter"), "date_id").where("quarter = 3 AND year = 2019")
+    assert quarter.count() == want.count() > 0
+
+
+def test_lines_that_do_not_fit_are_counted(spark, tmp_path):
+    head = ",".join(HEADER)
+    fits = "1,A,d,1,2020-01-01 00:00:00,2.5,7.0,France"
+    (tmp_path / "a.csv").write_text(
+        "\n".join([head, fits, "2,B", fits + ",more", '3,C,"one', 'two",1,2020-01-01 00:00:00,2.5,7.0,Chile', fits]) + "\n"
+    )
+    lines = feeds.read_lines(spark, [str(tmp_path)])
+    assert tuple(feeds.feed_account(lines).first()) == (6, 2, 4)
+    refused = {r[0] for r in lines.where(f"{feeds.REFUSED} IS NOT NULL").select(feeds.REFUSED).collect()}
+    assert "2,B" in refused and fits + ",more" in refused
+    counts = feeds.account()
+    kept = feeds.read_parts(spark, [str(tmp_path)], counts=counts)
+    # A reader that needs one column only sees the same lines.
+    assert [r[0] for r in kept.select("Country").collect()] == ["France", "France"]
+    assert counts.get == {"lines_read": 6, "lines_refused": 4}
+    result = run_etl_from_files(spark, [str(tmp_path)], str(tmp_path / "star"), multi_line=True)
+    assert (result.lines_read, result.lines_refused) == (5, 2)
+
+
+def test_headers_are_found_in_many_files_of_many_pieces(spark, tmp_path):
+    """Large and small files, headers in two orders, files cut into pieces: every head once, right for its file."""
+    for i in range(6):
+        order = HEADER if i % 2 else HEADER[::-1]
+        rows_ = [sale(k) for k in range(3000 if i < 3 else 5)]
+        write_part(tmp_path / f"{i}.csv", rows_ if i % 2 else [r[::-1] for r in rows_], order)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        heads = feeds._heads(spark, str(tmp_path)).collect()
+        got = feeds.read_parts(spark, [str(tmp_path)])
+        assert got.where("Country = 'France'").count() == got.count() == 9015
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((os.path.basename(r["file"]), r["head"][:7]) for r in heads) == [
+        (f"{i}.csv", "Invoice" if i % 2 else "Country") for i in range(6)
+    ]
 
 
 def test_reports_round_trip_and_may_be_absent(spark, tmp_path):

@@ -9,6 +9,7 @@ from tests.conftest import day
 from tillpath import schemas
 from tillpath.fixed_values import AGE_SHARES, CHANNEL_SHARES, COUNTRY_REGION
 from tillpath.operators import star, validation
+from tillpath.session import cut
 from tillpath.schemas import Star
 
 
@@ -138,5 +139,11 @@ def test_validation_finds_planted_faults(lines):
         "fk_integrity:dim_dates": "orphan_rows=1",
         "no_null_customer_id_in_fact": "null_customer_rows=1",
     }
+    # The fact is read once for all checks.
+    once = validation.validation_report(
+        Star(fact=cut(built.fact), dates=built.dates, customers=built.customers, products=built.products), expected
+    )
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transaction_id#") <= 1
     outcome = validation.all_passed(report).first()
     assert not outcome["success"] and outcome["failed"] == 5

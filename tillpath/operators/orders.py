@@ -17,9 +17,13 @@ MONEY = "decimal(22,2)"
 def with_calendar(fact: DataFrame, dates: DataFrame, *columns: str) -> DataFrame:
     """Add calendar columns. The calendar has one row per day, hence the broadcast.
 
-    A stored fact already has `year` and `month` from its folders; the calendar's take their place.
+    A stored fact already has `year` and `month` from its folders. They are part of the join key, so the days
+    that a filtered calendar still has decide at run time which folders are read.
     """
-    return fact.drop(*columns).join(F.broadcast(dates.select("date_id", *columns)), "date_id")
+    keys = ["date_id", *[c for c in ("year", "month") if c in fact.columns and c in dates.columns]]
+    added = [c for c in columns if c not in keys]
+    lines = fact.drop(*added)
+    return lines.join(F.broadcast(dates.select(*keys, *added)), keys)
 
 
 def sales(fact: DataFrame) -> DataFrame:

@@ -118,7 +118,9 @@ def dim_customers(
 _DAY_BUCKETS = 64
 
 
-def number_lines(lines: DataFrame, content: list[str], *, buckets: int = _DAY_BUCKETS) -> DataFrame:
+def number_lines(
+    lines: DataFrame, content: list[str], *, keep: list[str] | None = None, buckets: int = _DAY_BUCKETS
+) -> DataFrame:
     """Add `transaction_id` 1..n, by day.
 
     A global sort of the fact only to number it would shuffle everything twice. Instead each day
@@ -128,13 +130,14 @@ def number_lines(lines: DataFrame, content: list[str], *, buckets: int = _DAY_BU
     content only, so a recomputed task assigns the same ones.
 
     `lines` are stored once with their buckets: counting and numbering read the stored rows, so
-    the joins that made `lines` run once.
+    the joins that made `lines` run once. Stored are the columns `keep` (all if not given), the digest of the
+    content and the bucket; the content itself is not needed any more.
     """
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content]
     digest = F.md5(F.concat_ws("|", *texts))
-    keyed = lines.withColumn("_digest", digest).withColumn(
-        "_bucket",
-        F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long") % F.lit(buckets),
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(buckets)
+    keyed = lines.select(
+        *(keep or lines.columns), F.unhex(digest).alias("_digest"), bucket.cast("int").alias("_bucket")
     )
     keyed = stage(keyed, "keyed-lines")
     sizes = keyed.groupBy("date_id", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
@@ -175,7 +178,12 @@ def fact_transactions(
         .join(customers.select("customer_id"), "customer_id", "left_semi")
     )
     # The raw columns that the fact drops still help to tell lines apart when spreading them.
-    numbered = number_lines(keyed, [c for c in CLEANED.names if c in keyed.columns], buckets=buckets)
+    numbered = number_lines(
+        keyed,
+        [c for c in CLEANED.names if c in keyed.columns],
+        keep=["date_id", "invoice", "customer_id", "product_id", "quantity", "price", "total_amount", "is_return"],
+        buckets=buckets,
+    )
     return numbered.select(
         "transaction_id",
         F.col("invoice").alias("invoice_no"),

@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tillpath.config import DEFAULTS, Settings
 from tillpath.operators import cohorts, customers, geography, pareto, summary, trends, welch
 from tillpath.schemas import Star
-from tillpath.session import cut
+from tillpath.session import cut, scope
 from tillpath.sources.reports import write_csv, write_json
 
 
@@ -44,12 +45,34 @@ def build_report(
     }
 
 
+# The order of the rows in the files, falling by names with a minus; a table without one has one row.
+ORDER: dict[str, list[str]] = {
+    "revenue_trends": ["year", "month"],
+    "revenue_quarterly": ["year", "quarter"],
+    "cohort_retention": ["cohort", "period_number"],
+    "cohort_matrix": ["cohort"],
+    "top_products": ["rank"],
+    "geographic_breakdown": ["-revenue", "country"],
+    "region_rollup": ["-revenue", "region"],
+    "tenure_summary": ["tenure_bucket"],
+    "churn_tests": ["metric"],
+}
+
+
 def write_report(tables: dict[str, DataFrame], folder: str) -> None:
+    """Every table as a folder of files; read by name they are in the stated order."""
     for name, table in tables.items():
         path = os.path.join(folder, name)
         if name == "summary":
             write_json(table, path)
         else:
-            write_csv(table, path)
+            order = [F.col(c).asc() if c[0] != "-" else F.col(c[1:]).desc() for c in ORDER.get(name, [])]
+            write_csv(table.orderBy(*order) if order else table, path)
+
+
+def run_report(star: Star, home_country: str, folder: str, settings: Settings = DEFAULTS) -> None:
+    """Build and write all report tables; what they share on the way is removed at the end."""
+    with scope(star.fact.sparkSession):
+        write_report(build_report(star, home_country, settings), folder)
 
 
