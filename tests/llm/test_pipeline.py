@@ -107,3 +107,34 @@ def test_odd_rows_keep_their_texts(spark, odd_docs):
     assert sum(r.doc_id == 11 for r in once) == 2
     masked = secrets.redact(odd_docs).collect()
     assert sorted(map(repr, masked)) == sorted(map(repr, odd_docs.collect()))
+
+
+CLASHES = ("_row_key", "_spans", "_row", "key", "doc", "spans", "tokens", "base", "live", "verdicts", "fp", "name", "level", "value_hash")
+
+
+def test_clashing_columns_come_through_unchanged(spark):
+    """With any column of the operators' own names the rows are those without it, and the column keeps its values."""
+    secret = ["token=" + c * 30 for c in "abc"]
+    texts = [f"x {s} y {i} " + " ".join(f"w{(i * k * k) % 97}" for k in range(40)) for i, s in enumerate(secret)] * 2
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    wide = docs
+    for number, name in enumerate(CLASHES):
+        wide = wide.withColumn(name, (docs["doc_id"] * 0 + 5 + number).cast("long"))
+    for _, step in corpus_pipeline.STAGES[1:4]:
+        plain, got = step(spark, docs, ""), step(spark, wide, "")
+        assert got.columns == wide.columns
+        assert sorted(map(tuple, got.select(docs.columns).collect())) == sorted(map(tuple, plain.collect()))
+        assert {tuple(r) for r in got.select(*CLASHES).collect()} == {tuple(range(5, 5 + len(CLASHES)))}
+    spans = lambda df: sorted(map(tuple, secrets.scan(df).collect()))
+    assert spans(wide) == spans(docs)
+
+
+def test_a_run_keeps_only_the_results_of_its_stages(spark):
+    import os
+
+    from tillpath.session import shared_folder
+
+    top = os.path.dirname(shared_folder(spark).removeprefix("file:"))
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+    assert not [d for d in os.listdir(top) if d.startswith("scope-")]

@@ -124,3 +124,22 @@ def test_a_value_of_many_documents_of_one_owner_is_an_example(make_docs):
     rows += [(40, f"key {one}", "hot")] * 9 + [(40, f"key {one}", "s")] * 9
     got = {r.doc_id: (r.n_live, r.n_example) for r in secrets.scan(make_docs(rows)).collect()}
     assert got == {**{i: (0, 1) for i in range(10)}, **{i: (1, 0) for i in range(20, 29)}, 40: (1, 0)}
+
+
+def test_every_finding_has_its_verdict(make_docs):
+    own, shown = "token=" + "q" * 30, "AKIA" + "B" * 16
+    rows = [(i, f"a {shown} b" + (f" {own}" if not i else ""), f"s{i}") for i in range(3)]
+    got = {r.doc_id: r.verdicts for r in secrets.scan(make_docs(rows)).collect()}
+    assert got[0] == "access:2:22:3:3:example,assign:25:61:1:1:own"
+    assert got[1] == "access:2:22:3:3:example"
+
+
+def test_values_in_very_many_rows(make_docs, monkeypatch):
+    """Hot values go by broadcast; the result is the same as without."""
+    from tillpath.llm import common
+
+    rows = [(i, f"token={'h' * 20 if i % 3 else i:0>20}", f"s{i % 2}") for i in range(60)]
+    want = sorted(map(tuple, secrets.scan(make_docs(rows)).collect()))
+    plain = common.attach
+    monkeypatch.setattr(secrets, "attach", lambda *a: plain(*a, least=5))
+    assert sorted(map(tuple, secrets.scan(make_docs(rows)).collect())) == want

@@ -28,13 +28,34 @@ def small(stream, rows: int = 256):
             yield batch.slice(at, rows)
 
 
-# The column that names a row, whatever its doc_id is.
-ROW_KEY = "_row_key"
+def numbered_rows(docs: DataFrame, name: str) -> DataFrame:
+    """(key, doc): a number per row and the row itself as one struct, stored, so that every reader sees the
+    same numbers. In the struct no column of the input can clash with one of ours."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return stage(docs.select(F.monotonically_increasing_id().alias("key"), whole.alias("doc")), name)
 
 
-def with_row_keys(docs: DataFrame, name: str) -> DataFrame:
-    """`docs` with a number per row in `ROW_KEY`, stored, so that every reader sees the same numbers."""
-    return stage(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), name)
+def only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of `numbered_rows` whose key is in `kept` (key), as they came in.
+
+    Rows move once, at every size: a plan that broadcast the keys of small tables would tell nothing about
+    large ones. What each task holds of `kept` is its share of the keys.
+    """
+    return rows.join(kept.hint("shuffle_hash"), "key", "left_semi").select("doc.*")
+
+
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, least: int = 1000, most: int = 1000) -> DataFrame:
+    """`rows` with the columns of their group. `groups` has a row per group and its number of rows in `size`.
+
+    The up to `most` largest groups with at least `least` rows reach their rows by broadcast, so that no group has to
+    fit into one task; any other is smaller than 1/`most` of all rows.
+    """
+    hot = cut(groups.where(F.col(size) >= least).orderBy(F.col(size).desc(), *keys).limit(most))
+    if hot.isEmpty():
+        return rows.join(groups, keys)
+    named = F.broadcast(hot)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups, keys)
+    return rows.join(named, keys).unionByName(rest)
 
 
 def hot_keys(keys: DataFrame, columns: list[str], least: int = 1000, most: int = 1000) -> DataFrame:

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillpath.llm.common import ROW_KEY, SPACES, hot_keys, text_of, with_row_keys
+from tillpath.llm.common import SPACES, attach, hot_keys, numbered_rows, only, text_of
 from tillpath.session import cut, stage
 
 BLOCK_CHARS = 4096
@@ -119,10 +119,10 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     order = F.struct(
         (-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c")
     )
-    groups = known.groupBy("level", "name").agg(
+    groups = stage(known.groupBy("level", "name").agg(
         F.min(order)["c"].alias("keep_id"), F.count(F.lit(1)).alias("group_size")
-    )
-    return known.join(groups, ["level", "name"]).select(
+    ), "identity-groups")
+    return attach(known, groups, ["level", "name"], "group_size").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
@@ -130,13 +130,13 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 def drop_copies(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row of every group of equal texts, the one of `keep_id`; of its rows any one.
 
-    Rows are told apart by a key of their own: doc_ids may be NULL or repeated.
+    Rows are told apart by a key of their own: doc_ids may be NULL or repeated, and any column may be there.
     """
-    rows = with_row_keys(docs, "exact-rows")
-    known = identities(rows, block_chars, ("doc_id", ROW_KEY))
+    rows = numbered_rows(docs, "exact-rows")
+    known = identities(rows.select("key", "doc.doc_id", "doc.text"), block_chars, ("doc_id", "key"))
     order = F.struct(
         (-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"),
-        F.col(ROW_KEY).alias("d"),
+        F.col("key").alias("d"),
     )
-    kept = stage(known.groupBy("level", "name").agg(F.min(order)["d"].alias(ROW_KEY)).select(ROW_KEY), "exact-kept")
-    return rows.join(kept, ROW_KEY, "left_semi").select(*docs.columns)
+    kept = known.groupBy("level", "name").agg(F.min(order)["d"].alias("key"))
+    return only(rows, stage(kept.select("key"), "exact-kept"))

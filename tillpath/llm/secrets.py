@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillpath.llm.common import ROW_KEY, text_of, with_row_keys
+from tillpath.llm.common import attach, text_of
 from tillpath.session import stage
 
 # The base patterns and their least lengths.
@@ -146,13 +146,16 @@ def _joined(spans: Column) -> Column:
     )
 
 
-def findings(docs: DataFrame) -> DataFrame:
-    """Per row: `_row`, doc_id, source, the spans of each base pattern and the candidate tokens."""
+def findings(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Per row: a number `_row`, doc_id, source, the spans of each base pattern and the candidate tokens; with
+    `whole` the row itself as the struct `doc`, where its columns clash with none of these."""
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if whole else []
     texts = docs.select(
         "doc_id",
         F.col("source") if "source" in docs.columns else F.lit(None).cast("string").alias("source"),
-        (F.col(ROW_KEY) if ROW_KEY in docs.columns else F.monotonically_increasing_id()).alias("_row"),
+        F.monotonically_increasing_id().alias("_row"),
         text_of().alias("_text"),
+        *carried,
     )
     low = F.lower("_text")
     # Plain substring tests spare most texts the costly pattern; each is implied by it.
@@ -164,7 +167,7 @@ def findings(docs: DataFrame) -> DataFrame:
     access = F.filter(_spans("_text", ACCESS, 1), lambda s: s["end"] - s["start"] >= ACCESS_CHARS)
     runs = F.filter(_spans("_text", HEX, 2), lambda s: s["end"] - s["start"] >= HEX_CHARS)
     return texts.select(
-        "_row", "doc_id", "source",
+        "_row", "doc_id", "source", *(["doc"] if whole else []),
         F.when(worded, assign).otherwise(_none()).alias("assign"),
         F.when(F.contains("_text", F.lit("AKIA")), access).otherwise(_none()).alias("access"),
         F.when(F.col("_text").rlike(f"[0-9a-f]{{{HEX_CHARS}}}"), runs).otherwise(_none()).alias("hex"),
@@ -193,49 +196,63 @@ def ownership(found: DataFrame) -> DataFrame:
     return values.groupBy("value_hash").agg(
         F.count_distinct(F.struct("doc_id")).alias("n_documents"),
         F.count_distinct(F.struct("source")).alias("n_owners"),
+        F.count(F.lit(1)).alias("n_findings"),
     )
 
 
 def scan(
     docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_documents: int = EXAMPLE_DOCUMENTS
 ) -> DataFrame:
-    """Per row of `docs`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
+    """Per row of `docs`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, verdicts.
 
     `n_live` counts the added spans, `n_example` the findings whose value at least
-    `example_owners` owners or `example_documents` documents show.
+    `example_owners` owners or `example_documents` documents show. `verdicts` tells for every finding, base ones and
+    candidates, `kind:start:end:owners:documents:example` or `...:own`, in the order of the spans.
     """
-    return _scanned(docs, example_owners, example_documents).drop("_row")
+    return _scanned(docs, example_owners, example_documents)
 
 
-def _scanned(docs: DataFrame, example_owners: int, example_documents: int) -> DataFrame:
-    """The columns of `scan` and `_row`, which is the row key where `docs` has one."""
+def _scanned(docs: DataFrame, example_owners: int, example_documents: int, whole: bool = False) -> DataFrame:
+    """The columns of `scan`; with `whole` also `doc`, the row. Only rows with findings move."""
     # Stored before anything is derived from it: each pattern runs once per text.
-    found = _apart(stage(findings(docs), "secret-findings"))
-    holders = ownership(found)
+    found = _apart(stage(findings(docs, whole), "secret-findings"))
+    holders = stage(ownership(found), "secret-owners")
     each = found.where(F.size("base") + F.size("tokens") > 0).select(
         "_row", F.explode(F.concat("base", "tokens")).alias("s")
     ).withColumn("value_hash", F.sha2("s.value", 256))
     copied = (F.col("n_owners") >= example_owners) | (F.col("n_documents") >= example_documents)
     live = (F.col("s.rank") == 3) & ~copied
-    per_row = each.join(holders, "value_hash").groupBy("_row").agg(
+    names = F.array(*[F.lit(k) for k in KINDS])
+    told = F.struct(
+        F.col("s.start"), F.col("s.rank"), F.col("s.end"),
+        F.concat_ws(
+            ":", names[F.col("s.rank")], F.col("s.start").cast("string"), F.col("s.end").cast("string"),
+            F.col("n_owners").cast("string"), F.col("n_documents").cast("string"),
+            F.when(copied, "example").otherwise("own"),
+        ).alias("text"),
+    )
+    # A value that very many rows show is attached by broadcast (at most 1000 of them).
+    judged = attach(each, holders, ["value_hash"], "n_findings")
+    per_row = judged.groupBy("_row").agg(
         F.collect_list(F.when(live, F.col("s"))).alias("live"),
         F.count_if(copied).alias("n_example"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(told)), lambda v: v["text"]), ",").alias("verdicts"),
     )
     hits, misses = found.where(F.size("base") + F.size("tokens") > 0), found.where(
         F.size("base") + F.size("tokens") == 0
     )
     joined = hits.join(per_row, "_row").unionByName(
-        misses.withColumn("live", _none()).withColumn("n_example", F.lit(0).cast("long"))
+        misses.withColumn("live", _none()).withColumn("n_example", F.lit(0).cast("long")).withColumn("verdicts", F.lit(""))
     )
     return joined.select(
-        "_row", "doc_id",
+        "doc_id", *(["doc"] if whole else []),
         F.size("assign").cast("long").alias("n_assign"),
         F.size("access").cast("long").alias("n_access"),
         F.size("hex").cast("long").alias("n_hex"),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.concat("base", "live")).alias("spans"),
         F.size("live").cast("long").alias("n_live"),
-        "n_example",
+        "n_example", "verdicts",
     )
 
 
@@ -245,14 +262,13 @@ def redact(
 ) -> DataFrame:
     """`docs` with every span of `scan` replaced by `mark`; n_chars follows the text.
 
-    Every row gets its own spans: rows are told apart by a key, as doc_ids may be NULL or repeated.
+    All base spans are masked, whatever their verdict; added spans are those whose verdict is `own`. Every row goes
+    with its own spans all the way, so doc_ids may be NULL or repeated, and rows without findings stay where they are.
     """
-    rows = with_row_keys(docs, "secret-rows")
-    found = _scanned(rows, example_owners, example_documents).where("spans != ''")
-    spans = stage(found.select(F.col("_row").alias(ROW_KEY), F.col("spans").alias("_spans")), "secret-spans")
-    joined = rows.join(spans, ROW_KEY, "left")
+    found = _scanned(docs, example_owners, example_documents, whole=True)
+    text = F.col("doc.text")
     places = F.transform(
-        F.split("_spans", ","),
+        F.split("spans", ","),
         lambda s: F.struct(
             F.split_part(s, F.lit(":"), F.lit(2)).cast("int").alias("a"),
             F.split_part(s, F.lit(":"), F.lit(3)).cast("int").alias("b"),
@@ -265,17 +281,20 @@ def redact(
         lambda s, p: F.struct(
             F.when(
                 (p["a"] >= s["at"]) & (p["b"] > s["at"]),
-                F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, p["a"] - s["at"]), F.lit(mark)),
+                F.concat(s["out"], F.substring(text, s["at"] + 1, p["a"] - s["at"]), F.lit(mark)),
             ).otherwise(s["out"]).alias("out"),
             F.greatest(s["at"], p["b"]).alias("at"),
         ),
     )
-    tail = F.concat(walked["out"], F.substring(F.col("text"), walked["at"] + 1, F.lit(2**31 - 1)))
-    masked = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), tail).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        masked = masked.withColumn(
-            "n_chars",
-            F.when(F.col("_spans").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType))
-            .otherwise(F.col("n_chars")),
-        )
-    return masked.select(*docs.columns)
+    tail = F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.lit(2**31 - 1)))
+    masked = F.when(F.col("spans") != "", tail).otherwise(text)
+    columns = []
+    for name in docs.columns:
+        value = F.col(f"doc.`{name}`")
+        if name == "text":
+            value = masked
+        elif name == "n_chars":
+            size = F.char_length(masked).cast(docs.schema[name].dataType)
+            value = F.when(F.col("spans") != "", size).otherwise(value)
+        columns.append(value.alias(name))
+    return found.select(*columns)

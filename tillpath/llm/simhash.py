@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillpath.llm.common import ROW_KEY, components, small, text_of, with_row_keys
+from tillpath.llm.common import components, numbered_rows, only, small, text_of
 from tillpath.session import stage
 
 SHINGLE_WORDS, MAX_BITS, HASH_SEED = 3, 3, 42
@@ -252,12 +252,12 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE_WORDS, bucket: int = BUCK
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE_WORDS, bucket: int = BUCKET) -> DataFrame:
     """One row of every component, of those with its smallest doc_id any one.
 
-    Rows are told apart by a key of their own: doc_ids may be NULL or repeated.
+    Rows are told apart by a key of their own: doc_ids may be NULL or repeated, and any column may be there.
     """
-    rows = with_row_keys(docs, "near-rows")
-    printed = stage(fingerprints(rows, shingle, ("doc_id", ROW_KEY)), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(ROW_KEY).alias("c"))
+    rows = numbered_rows(docs, "near-rows")
+    printed = stage(fingerprints(rows.select("key", "doc.doc_id", "doc.text"), shingle, ("doc_id", "key")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"))
     # One row per fingerprint first, as in the classes.
     least = printed.groupBy("fp").agg(F.min(order).alias("_least"))
-    best = least.join(_grouped(printed, bucket), "fp").groupBy("component").agg(F.min("_least")["c"].alias(ROW_KEY))
-    return rows.join(stage(best.select(ROW_KEY), "near-kept"), ROW_KEY, "left_semi").select(*docs.columns)
+    best = least.join(_grouped(printed, bucket), "fp").groupBy("component").agg(F.min("_least")["c"].alias("key"))
+    return only(rows, stage(best.select("key"), "near-kept"))
