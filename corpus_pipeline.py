@@ -11,6 +11,8 @@ near copies one stays (op 1), 4. secrets are masked in the texts (op 7), 5. what
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tillpath.llm.common import read_table
@@ -19,7 +21,7 @@ from tillpath.llm.packing import pack
 from tillpath.llm.quality_rules import drop_rejected
 from tillpath.llm.secrets import redact
 from tillpath.llm.simhash import drop_near_copies
-from tillpath.session import stage
+from tillpath.session import scope, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for number, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if number + 1 < len(STAGES):
-            docs = stage(docs, f"pipeline-{name}")
-    return docs
+    done = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, step in STAGES[:-1]:
+        # What a stage keeps on its way goes when its result is written.
+        with scope(spark):
+            step(spark, docs, sf_dir).write.parquet(f"{done}/{name}")
+        docs = spark.read.parquet(f"{done}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
