@@ -11,6 +11,7 @@ import time
 import duckdb
 
 from checks.oracles import ORACLES
+from checks import planted  # noqa: F401  (adds its queries to both lists)
 from checks.queries import QUERIES
 from tillpath.session import build_session
 

@@ -3,19 +3,12 @@
 from __future__ import annotations
 
 import math
-import sys
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpath.functions.numeric import half_up
 
-# Executors get the few Python functions below with the task, not from an installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 METRICS = ("order_count", "revenue", "avg_txn_value", "return_rate")
 
 
@@ -58,57 +51,71 @@ def welch_statistics(metrics: DataFrame, names: tuple[str, ...] = METRICS) -> Da
     )
 
 
-def _fraction(x: float, a: float, b: float) -> float:
-    """Continued fraction of the incomplete beta function (Lentz's method)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    total = d
-    for m in range(1, 500):
-        for step in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + step * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + step / c
-            c = c if abs(c) > tiny else tiny
-            total *= c * d
-        if abs(c * d - 1.0) < 1e-14:
-            break
-    return total
-
-
-def two_sided_p(t: float, df: float) -> float:
-    """P(|T| >= |t|) for Student's t with `df` degrees of freedom."""
-    if t is None or df is None or math.isnan(t) or math.isnan(df) or df <= 0:
-        return float("nan")
-    x = df / (df + t * t)
-    a, b = df / 2.0, 0.5
-    if x >= 1.0:
-        return 1.0
-    if x <= 0.0:
-        return 0.0
-    log_front = (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
-    )
-    front = math.exp(log_front)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _fraction(x, a, b) / a
-    return 1.0 - front * _fraction(1.0 - x, b, a) / b
+# Terms of the continued fraction; it has settled long before for samples of customers.
+_TERMS = 500
+# Steps by which the argument of the gamma ratio is raised before the series is used.
+_RAISED = 10
+
 
+def _log_gamma_ratio(a: Column) -> Column:
+    """log(Gamma(a + 1/2) / Gamma(a)): the asymptotic series at a + 10, brought back by the recursion.
 
-def _add_p(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.assign(p_value=[two_sided_p(t, d) for t, d in zip(batch["t"], batch["df"])])
+    One difference of small terms instead of two large logarithms, so it is as exact for very many degrees of freedom.
+    """
+    up = a + _RAISED
+    series = (
+        0.5 * F.log(up) - 1 / (8 * up) + 1 / (192 * F.pow(up, 3)) - 1 / (640 * F.pow(up, 5)) + 17 / (14336 * F.pow(up, 7))
+    )
+    for k in range(_RAISED):
+        series = series + F.log((a + k) / (a + k + 0.5))
+    return series
+
+
+def _fraction(x: Column, a: Column, b: Column) -> Column:
+    """Continued fraction of the incomplete beta function by Lentz's method, as a fold over its terms."""
+    def off_zero(value: Column) -> Column:
+        return F.when(F.abs(value) > 1e-300, value).otherwise(1e-300)
+
+    def step(state: Column, term: Column) -> Column:
+        d = 1 / off_zero(1 + term * state["d"])
+        c = off_zero(1 + term / state["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (state["total"] * c * d).alias("total"))
+
+    def both(state: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return step(step(state, even), odd)
+
+    first = 1 / off_zero(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("total"))
+    terms = F.transform(F.sequence(F.lit(1), F.lit(_TERMS)), lambda m: m.cast("double"))
+    return F.aggregate(terms, start, both, lambda state: state["total"])
+
+
+def two_sided_p(t: Column, df: Column) -> Column:
+    """P(|T| >= |t|) for Student's t with `df` degrees of freedom; NaN where either is missing.
+
+    It is the incomplete beta function at df / (df + t^2) with parameters df/2 and 1/2.
+    """
+    t, df = t.cast("double"), df.cast("double")
+    a, half = df / 2, F.lit(0.5)
+    # What is left of 1 beside x is computed by itself: for large samples x is close to 1.
+    x, rest = df / (df + t * t), t * t / (df + t * t)
+    front = F.exp(_log_gamma_ratio(a) - a * F.log1p(t * t / df) + 0.5 * F.log(rest)) / math.sqrt(math.pi)
+    direct = front * _fraction(x, a, half) / a
+    mirrored = 1 - front * _fraction(rest, half, a) / half
+    missing = t.isNull() | df.isNull() | F.isnan(t) | F.isnan(df) | (df <= 0)
+    return (
+        F.when(missing, F.lit(float("nan")))
+        .when(rest <= 0, 1.0)
+        .when(x <= 0, 0.0)
+        .otherwise(F.when(x < (a + 1) / (a + 2.5), direct).otherwise(mirrored))
+    )
 
 
 def welch_tests(metrics: DataFrame, names: tuple[str, ...] = METRICS, level: float = 0.05) -> DataFrame:
-    """The tests with p values and wording. Python sees one row per metric."""
-    statistics = welch_statistics(metrics, names)
-    schema = statistics.schema.simpleString()[len("struct<"):-1] + ",p_value:double"
-    tested = statistics.mapInPandas(_add_p, schema)
+    """The tests with p values and wording."""
+    tested = welch_statistics(metrics, names).withColumn("p_value", two_sided_p(F.col("t"), F.col("df")))
     p = F.col("p_value")
     side = F.when(F.col("retained_avg") > F.col("churned_avg"), "higher").otherwise("lower")
     shown = F.when(p < 0.001, "<0.001").otherwise(F.format_string("%.4f", p))
