@@ -119,14 +119,19 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 _VERDICT = ", ".join(f"{c} long" for c in _COUNTS) + ", base_failed boolean, kept boolean"
 
 
-def judge(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (doc_id) with the counts, base_failed and kept of every row."""
+def judge(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """The columns `keep` (doc_id) with the counts, base_failed and kept of every row.
+
+    A text that is kept goes to the workers once, like one that is not.
+    """
     keep = ["doc_id"] if keep is None else keep
+    sent = keep if text in keep else [*keep, text]
+    place_of_text = sent.index(text)
     names = [*keep, *_COUNTS, "base_failed", "kept"]
 
     def batches(stream):
         for batch in small(stream):
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
+            texts = batch.column(place_of_text).cast(pa.binary()).to_pylist()
             found, passed = [], np.zeros(len(texts), bool)
             for at in range(0, len(texts), 256):
                 vectors, places = [], []
@@ -153,7 +158,7 @@ def judge(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
     kinds = dict(docs.dtypes)
     fields = ", ".join(f"`{k}` {kinds[k]}" for k in keep)
-    return docs.select(*keep, F.col("text").alias("_judged")).mapInArrow(batches, f"{fields}, {_VERDICT}")
+    return docs.select(*sent).mapInArrow(batches, f"{fields}, {_VERDICT}")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
@@ -162,7 +167,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
     """`docs` without the rows that the rules reject; texts are judged where they are, without a shuffle."""
-    plain = docs.select([F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)] + [F.col("text")])
+    plain = docs.select([F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)])
     model = train(docs, labels, most)
-    judged = judge(plain, model, [f"_{i}" for i in range(len(docs.columns))])
+    text = f"_{[c.lower() for c in docs.columns].index('text')}"
+    judged = judge(plain, model, [f"_{i}" for i in range(len(docs.columns))], text)
     return judged.where("kept").select([F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -96,10 +96,17 @@ def sample(docs: DataFrame, kept: DataFrame, most: int = SAMPLE_ROWS) -> tuple[n
 
     made = rows.select("doc_id", "text", F.col("value").cast("int").alias("value")).select("doc_id", "text", "value")
     found = made.mapInArrow(batches, "doc_id long, value int, data binary").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("data", "ascending")])
-    values = np.array(found.column("value").to_pylist(), np.int64)
-    data = b"".join(found.column("data").to_pylist())
-    return np.frombuffer(data, np.float32).reshape(len(values), SIZE), values
+    # In order of the ids (one row each), into one array.
+    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
+    values, out = found.column("value").to_numpy()[order].astype(np.int64), np.empty((len(order), SIZE), np.float32)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at = 0
+    for part in found.column("data").chunks:
+        for data in part:
+            out[place[at]] = np.frombuffer(data.as_buffer(), np.float32)
+            at += 1
+    return out, values
 
 
 class Adam:
