@@ -73,6 +73,62 @@ def test_prior_is_estimated():
         assert abs(pu.estimate_prior(good[3000:], mixed) - prior) < 0.06
 
 
+def plain_risk(p, u, w, prior):
+    """The risk term by term, in plain numbers."""
+    import math
+
+    def loss(row, sign):
+        z = sum(float(a) * float(b) for a, b in zip(row, w[:-1])) + float(w[-1])
+        return math.log1p(math.exp(-sign * z))
+
+    positive = sum(loss(r, 1) for r in p) / len(p)
+    as_negative = sum(loss(r, -1) for r in p) / len(p)
+    unlabelled = sum(loss(r, -1) for r in u) / len(u)
+    return prior * positive, unlabelled - prior * as_negative
+
+
+def test_risk_and_slope_equal_a_plain_sum():
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(size=(30, 6)).astype(np.float32), rng.normal(size=(40, 6)).astype(np.float32)
+    seen = set()
+    for prior, size in ((0.3, 0.2), (0.9, 1.5), (0.9, 0.1), (0.99, 3.0)):
+        w = (size * rng.normal(size=7)).astype(np.float32).astype(float)
+        for shift in (0.0, 4.0):
+            q = p + np.float32(shift)
+            whole, negative, slope = pu.risk(q, u, w, prior)
+            first, second = plain_risk(q, u, w, prior)
+            assert abs(negative - second) < 1e-4 and abs(whole - (first + max(0.0, second))) < 1e-4
+            seen.add(second >= 0)
+            for k in range(7):
+                step = np.zeros(7)
+                step[k] = 1e-3
+                high, low = (plain_risk(q, u, w + s, prior) for s in (step, -step))
+                # Below zero the step goes up the negative part alone.
+                rise = sum(high) - sum(low) if second >= 0 else low[1] - high[1]
+                assert abs(slope[k] - rise / 2e-3) < 2e-3
+    assert seen == {True, False}
+
+
+def test_fit_equals_the_same_steps_by_plain_means():
+    """All steps of the fit with gradients summed row by row."""
+    rng = np.random.default_rng(9)
+    good, bad = (np.abs(rng.normal(m, 0.3, size=(25, tf.SIZE))).astype(np.float32) * (np.arange(tf.SIZE) < 5) for m in (1.0, 0.4))
+    positive, unlabelled = good[:15], np.concatenate([good[15:], bad[:15]])
+    model = pu.fit(positive, unlabelled, prior=0.4)
+    p, u = (3.0 * tf.scaled(x).astype(float)[:, :5] for x in (positive, unlabelled))
+    w, adam = np.zeros(6), tf.Adam(6, pu.RATE)
+    for step in range(pu.STEPS):
+        adam.rate = pu.RATE * (1 - step / pu.STEPS) + 1e-4
+        s = lambda r: 1 / (1 + np.exp(-(r @ w[:5] + w[5])))
+        one = lambda r, a: a * np.append(r, 1.0)
+        negative = np.mean([np.log1p(np.exp(r @ w[:5] + w[5])) for r in u]) - 0.4 * np.mean([np.log1p(np.exp(r @ w[:5] + w[5])) for r in p])
+        up = sum(one(r, s(r)) for r in u) / len(u) - 0.4 * sum(one(r, s(r)) for r in p) / len(p)
+        slope = 0.4 * sum(one(r, s(r) - 1) for r in p) / len(p) + up if negative >= 0 else -up
+        slope[:5] += pu.DECAY * w[:5]
+        adam.step(w, slope)
+    assert np.allclose(model.weights[:5], w[:5], atol=2e-2) and not model.weights[5:].any()
+
+
 def test_classifier_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

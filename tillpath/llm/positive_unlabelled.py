@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpath.llm.common import small, text_of
-from tillpath.llm.text_features import SAMPLE_ROWS, SIZE, Adam, sample, scaled, squash, vector
+from tillpath.llm.text_features import SAMPLE_ROWS, SIZE, Adam, sample, scale, scaled, squash, vector
 
 STEPS, RATE, DECAY = 300, 0.1, 1e-3
 SEED = 17
@@ -82,25 +82,40 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(best, 0.01, 0.99))
 
 
+def risk(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """Non-negative risk, the part of it that stands for negatives, and the direction to step against.
+
+    With the logistic loss: prior * mean loss(+) on positives, and what the unlabelled lose as negatives less what
+    the share of positives among them would lose. Where that part falls below zero the step raises it again.
+    """
+    v = w[:-1].astype(np.float32)
+    zp, zu = p @ v + w[-1], u @ v + w[-1]
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    # Slopes of the three means: loss(+) on positives, loss(-) on positives and unlabelled.
+    gp, gn, gu = (squash(zp) - 1) / len(p), squash(zp) / len(p), squash(zu) / len(u)
+    on_p, on_u = (prior * (gp - gn), gu) if negative >= 0 else (prior * gn, -gu)
+    slope = p.T @ on_p.astype(np.float32) + u.T @ on_u.astype(np.float32)
+    whole = prior * np.logaddexp(0, -zp).mean() + max(0.0, negative)
+    return float(whole), float(negative), np.append(slope, on_p.sum() + on_u.sum())
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
     """The model of two samples of raw vectors."""
     if len(positive) == 0 or len(unlabelled) == 0:
         return Model(np.zeros(SIZE, np.float32), 0.0, 0.5)
-    p, u = _weighed(positive), _weighed(unlabelled)
+    # One array for both samples, which the parts below are views of.
+    both = scale(np.concatenate([positive, unlabelled], dtype=np.float32))
+    both *= np.float32(3)
+    p, u = both[: len(positive)], both[len(positive) :]
     if prior is None:
-        scores = _plain_fit(np.concatenate([p, u]), np.concatenate([np.ones(len(p)), np.zeros(len(u))]))
+        scores = _plain_fit(both, np.concatenate([np.ones(len(p)), np.zeros(len(u))]))
         prior = estimate_prior(scores[: len(p)], scores[len(p) :])
     w, adam = np.zeros(SIZE + 1), Adam(SIZE + 1, RATE)
     for step in range(STEPS):
         adam.rate = RATE * (1 - step / STEPS) + 1e-4
-        v = w[:-1].astype(np.float32)
-        zp, zu = p @ v + w[-1], u @ v + w[-1]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        # Slopes of the three means: loss(+) on positives, loss(-) on positives and unlabelled.
-        gp, gn, gu = (squash(zp) - 1) / len(p), squash(zp) / len(p), squash(zu) / len(u)
-        on_p, on_u = (prior * (gp - gn), gu) if negative >= 0 else (prior * gn, -gu)
-        slope = p.T @ on_p.astype(np.float32) + u.T @ on_u.astype(np.float32) + DECAY * w[:-1]
-        adam.step(w, np.append(slope, on_p.sum() + on_u.sum()))
+        _, _, slope = risk(p, u, w, prior)
+        slope[:-1] += DECAY * w[:-1]
+        adam.step(w, slope)
     v = w[:-1].astype(np.float32)
     return Model(v, -_least_risk(p @ v, u @ v, prior), prior)
 
