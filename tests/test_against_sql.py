@@ -8,6 +8,7 @@ import pytest
 
 from checks import compare
 from checks.oracles import ORACLES
+from checks import planted  # noqa: F401  (adds its queries to both lists)
 from checks.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,7 +19,9 @@ CHOSEN = [
     "cohort_retention", "pareto_products", "geo_breakdown", "customer_ltv", "tenure_summary",
     "rfm_scores", "welch_statistics", "eda_summary", "kpi_summary", "segment_names",
     "churn_features", "stratified_split", "evaluate_models", "threshold_sweep", "roc_points",
-    "decompose", "anomalies", "forecast_scores", "history_plus_forecast",
+    "decompose", "anomalies", "forecast_scores", "history_plus_forecast", "feed_account", "star_pruned",
+    "welch_p_values", "clean_odd_lines", "planted_clusters", "planted_logistic_regression", "planted_trend",
+    "planted_forecast",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")

@@ -14,7 +14,7 @@ from tillpath.operators import serving
 from tillpath.plans.churn import run_churn
 from tillpath.plans.etl import run_etl_from_files
 from tillpath.plans.forecast import run_forecast
-from tillpath.plans.report import build_report, write_report
+from tillpath.plans.report import build_report, run_report, write_report
 from tillpath.plans.segmentation import run_segmentation
 from tillpath.operators.series import monthly_series
 from tillpath.operators.orders import with_calendar
@@ -275,3 +275,25 @@ def test_json_whose_first_record_lacks_a_null_field(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(first) + "\n")
     with pytest.raises(ValueError, match="Customer ID"):
         read_parts(spark, [str(tmp_path)], "json")
+
+
+def test_report_files_are_in_order(spark, tmp_path):
+    months = [(2019 + m // 12, m % 12 + 1, float(m)) for m in range(40)]
+    table = spark.createDataFrame(months[::-1], "year int, month int, revenue double").repartition(7)
+    places = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 5.0)], "country string, revenue double")
+    write_report({"revenue_trends": table, "geographic_breakdown": places}, str(tmp_path))
+
+    def lines(name):
+        parts = sorted(p for p in os.listdir(tmp_path / name) if p.endswith(".csv"))
+        return [line for p in parts for line in (tmp_path / name / p).read_text().splitlines()[1:]]
+
+    assert lines("revenue_trends") == [",".join(map(str, m)) for m in months]
+    assert lines("geographic_breakdown") == ["c,5.0", "a,1.0", "b,1.0"]
+
+
+def test_run_report_writes_and_cleans_up(spark, tmp_path, make_star):
+    star = make_star([(f"{c}-{m}", c, 1, f"2020-{m:02d}-0{c}", 2, 3) for m in range(1, 13) for c in (1, 2, 3)])
+    before = folders(spark)
+    run_report(star, "France", str(tmp_path / "report"))
+    assert folders(spark) == before
+    assert {"summary", "revenue_trends", "churn_tests"} <= set(os.listdir(tmp_path / "report"))

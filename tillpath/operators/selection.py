@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BINS = 4096
+BINS = 1 << 16
 
 
 @dataclass(frozen=True)
