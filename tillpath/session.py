@@ -98,7 +98,9 @@ def scope(spark: SparkSession) -> Iterator[str]:
     """
     outer = shared_folder(spark)
     context = spark.sparkContext
-    own = os.path.join(_base_folder(spark), f"scope-{uuid.uuid4().hex}")
+    # Beside the session's own folder, wherever that was set.
+    above = _SCOPES[-1] if _SCOPES else os.path.dirname(outer)
+    own = os.path.join(above, f"scope-{uuid.uuid4().hex}")
     context.setCheckpointDir(own)
     _SCOPES.append(own)
     try:
@@ -107,7 +109,7 @@ def scope(spark: SparkSession) -> Iterator[str]:
         _SCOPES.pop()
         remove(spark, own)
         # Spark makes a new folder below the one it is given; what the outer one holds stays where it is.
-        context.setCheckpointDir(_SCOPES[-1] if _SCOPES else os.path.dirname(outer))
+        context.setCheckpointDir(above)
         if not _SCOPES and not listed(spark, outer):
             remove(spark, outer)
 
