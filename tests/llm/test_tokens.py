@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tillpath.llm import bpe, token_counts
-from tillpath.llm.tokens import byte_level_encoder, library_tokenizer, rank_encoding, rank_ids, word_encoder, _byte_letters
+from tillpath.llm.tokens import byte_level_encoder, library_tokenizer, rank_encoding, rank_ids, word_encoder, word_rank_encoding, _byte_letters, _SETTLED
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PARTS = ["a", "é", "don't", "'", "re", " ", "  ", "\n", " \n ", "\t", "12", "!?", "\x1c", "\x85", "　", "word", "\U0001f600", "İ", "́", "Σ"]
@@ -84,6 +84,43 @@ def test_every_merge_is_what_ranks_would_do():
         assert parts == [first, second]
 
 
+def test_every_merge_of_word_pieces_is_what_ranks_would_do():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as file:
+        merges = json.load(file)["model"]["merges"]
+    ranks = word_rank_encoding(path)._mergeable_ranks
+    letters = _byte_letters()
+    for pair in merges:
+        first, second = (bytes(letters[c] for c in p.removesuffix("</w>")) + b"A" * p.endswith("</w>") for p in pair)
+        parts = [bytes([b]) for b in first + second]
+        while len(parts) > 2:
+            near = [(ranks.get(a + b, len(ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+            rank, i = min(near)
+            assert rank < ranks[first + second]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert parts == [first, second]
+
+
+def test_words_of_every_settled_character():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library = word_encoder(path), library_tokenizer(path)
+    signs = [chr(c) for c in range(0xD7A4) if _SETTLED.fullmatch(chr(c))]
+    rng = random.Random(7)
+    marks = [s for s in signs if 0x300 <= ord(s) < 0x370]
+    texts = [f"a{s}1{s}{s}!{s} {s}s'{s}B" for s in signs]
+    texts += ["".join(rng.choices(signs[:1400], k=30)) for _ in range(3000)]
+    texts += ["".join(a + rng.choice(marks) + rng.choice(["", rng.choice(marks)]) for a in rng.choices(signs[:1300], k=12)) for _ in range(3000)]
+    for text, whole in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert list(memoryview(own(text)).cast("I")) == whole.ids, text
+
+
+@pytest.mark.parametrize("text", ["b" * 5000, "A" * 1001 + " x", "!" * 3000, "AAA A", "\u0558\u0559x", "\U00010940a", "x\u0130\u03a3 \u03a3", " ", "\x1c \x85a"])
+def test_odd_words(text):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = library_tokenizer(path).encode(text, add_special_tokens=False).ids
+    assert list(memoryview(word_encoder(path)(text)).cast("I")) == ids
+
+
 @pytest.mark.parametrize("text", [" " * 30000 + "z", " " * 30000 + "\n z", "a" + "\n" * 30000, "b" + "\t" * 25000 + " c " + " " * 20000, " " * 25000 + "\x1cq"])
 def test_long_white_space(text):
     own = rank_encoding(RANKS)

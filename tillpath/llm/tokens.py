@@ -2,10 +2,9 @@
 
 The ids are those of the libraries for the whole text. A byte-level tokenizer file whose merges make
 one token each, in the order of the ids, is the same thing as a table of ranks, and is read as one:
-the encoder of ranks is several times faster. Added tokens of a tokenizer file, which the library takes
-from a text before anything else, are cut out there too. For a file of word pieces, texts are cut into units
-that cannot influence one another, and the ids of a unit are remembered per worker process, in a
-table that is emptied when it is full.
+the encoder of ranks is several times faster. So is a file of word pieces, if a mark behind every word
+stands for the word end. Added tokens of a tokenizer file, which the library takes from a text before
+anything else, are cut out there too.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ import base64
 import json
 import os
 import re
+import unicodedata
 from array import array
 from functools import cache
 
@@ -22,9 +22,6 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-# Units remembered per process and vocabulary.
-REMEMBERED = 300_000
-
 # White space runs of this length are split off: the pattern recurses over them and would run out of stack.
 _LONG_WHITE = regex.compile(r"\p{White_Space}{20000,}")
 
@@ -109,80 +106,108 @@ def byte_level_units(text: str) -> list[str]:
     return [first, *[" " + part for part in rest]]
 
 
-def word_units(text: str) -> list[str]:
-    """Pieces between spaces and line feeds, for vocabularies that drop white space."""
-    return text.replace("\n", " ").split(" ")
-
-
-class UnitEncoder:
-    """Ids of whole texts through a tokenizer file and remembered units."""
-
-    def __init__(self, path: str, units, fold=None) -> None:
-        """`fold` maps a unit to units with the same ids, of which fewer exist.
-
-        Units may not cut an added token. Those that hold one, or would once lower-cased, are not folded.
-        """
-        self._added = tuple(a.lower() for a in added_tokens(path))
-        self._tokenizer = library_tokenizer(path)
-        self._units, self._fold = units, fold
-        self._known: dict[str, bytes] = {}
-
-    def _folded(self, unit: str) -> tuple[str, ...]:
-        low = unit.lower()
-        return (unit,) if any(a in low for a in self._added) else self._fold(unit)
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        known = self._known
-        if len(known) > REMEMBERED:
-            known.clear()
-        units = self._units(text)
-        missing = set(units).difference(known)
-        if missing:
-            folded = {u: self._folded(u) for u in missing} if self._fold else {}
-            plain = missing if not folded else {p for parts in folded.values() for p in parts}.difference(known)
-            plain = list(plain)
-            encoded = self._tokenizer.encode_batch_fast(plain, add_special_tokens=False)
-            for unit, e in zip(plain, encoded):
-                known[unit] = array("I", e.ids).tobytes()
-            for unit, parts in folded.items():
-                known[unit] = b"".join(map(known.__getitem__, parts))
-        return b"".join(map(known.__getitem__, units))
-
-
-def folded_word(unit: str) -> tuple[str, ...]:
-    """An ASCII unit of a lower-casing vocabulary: lower case, a closing mark by itself.
-
-    The pattern splits letters from marks, and a mark at the end of a unit belongs to no contraction.
-    """
-    if not unit.isascii():
-        return (unit,)
-    low = unit.lower()
-    if len(low) > 1 and low[-1] in ".,;:!?" and low[-2].isalpha():
-        return (low[:-1], low[-1])
-    return (low,)
-
-
-@cache
-def byte_level_encoder(path: str):
-    """A function from a text to its ids as little-endian unsigned 32-bit integers."""
-    encoding, added = rank_encoding(path), added_tokens(path)
+def _with_added(path: str, plain):
+    """A function from a text to its ids as little-endian unsigned 32-bit integers, where `plain` gives the
+    ids of a part that holds no added token."""
+    added = added_tokens(path)
     if not added:
-        return lambda text: array("I", rank_ids(encoding, text)).tobytes()
+        return lambda text: array("I", plain(text)).tobytes()
     # The leftmost, and of several there the longest.
     cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
 
     def encode(text: str) -> bytes:
         first, *rest = cuts.split(text)
-        ids = array("I", rank_ids(encoding, first))
+        ids = array("I", plain(first))
         for name, part in zip(rest[::2], rest[1::2]):
             ids.append(added[name])
-            ids.extend(rank_ids(encoding, part))
+            ids.extend(plain(part))
         return ids.tobytes()
 
     return encode
 
 
 @cache
-def word_encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(path, word_units, folded_word)
+def byte_level_encoder(path: str):
+    """Ids of texts by a file of ranks or a byte-level tokenizer file."""
+    encoding = rank_encoding(path)
+    return _with_added(path, lambda text: rank_ids(encoding, text))
+
+
+# What a file of word pieces must say of its texts to be read as ranks (fixed values of the file format).
+_WORD_FORM = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_END = "</w>"
+# Stands behind every word in place of the word end: no lower-cased text holds it.
+_MARK = "A"
+
+_WORDS = regex.compile(_WORD_PATTERN)
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+# Characters whose class, case and composition all Unicode versions in use agree on.
+_SETTLED = re.compile("[\0-\u0557\u2010-\u206f\u3040-\u3096\u4e00-\u9fa5\uac00-\ud7a3]*")
+# Merging a word takes time by its square; the library's does not.
+_LONGEST_WORD = 1000
+
+
+@cache
+def word_rank_encoding(path: str) -> tiktoken.Encoding:
+    """A tokenizer file of lower-cased words with word ends as a table of ranks over words with `_MARK` behind them.
+
+    The last byte of a word with its mark is a token of a lower rank than all merges, so it is joined first.
+    """
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    model, letters, mark = whole["model"], _byte_letters(), _MARK.encode()
+    vocabulary = model["vocab"]
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    split, level = whole["pre_tokenizer"]["pretokenizers"]
+    ends = [vocabulary[letter + _WORD_END] for letter in letters]
+    ranks = {}
+    for token, rank in vocabulary.items():
+        word = token.removesuffix(_WORD_END)
+        data = bytes(letters[c] for c in word)
+        if mark not in data:
+            ranks[data + mark if word != token else data] = rank
+        elif len(data) > 1:
+            raise ValueError(f"{path} has tokens with capitals")
+    if (
+        whole["normalizer"]["normalizers"] != _WORD_FORM
+        or (split["pattern"], split["behavior"], split["invert"]) != ({"Regex": _WORD_PATTERN}, "Removed", True)
+        or level["type"] != "ByteLevel" or level["add_prefix_space"] or level["use_regex"]
+        or model["end_of_word_suffix"] != _WORD_END
+        or max(ends) >= made[0] or any(a >= b for a, b in zip(made, made[1:]))
+    ):
+        raise ValueError(f"{path} is not equal to a table of ranks")
+    # A mark is never left alone; tables need a rank for every byte of a piece.
+    ranks[mark] = max(vocabulary.values()) + 1
+    return tiktoken.Encoding(os.path.basename(path), pat_str="[^A]+A", mergeable_ranks=ranks, special_tokens={})
+
+
+@cache
+def word_encoder(path: str):
+    """Ids of texts by a file of word pieces, as little-endian unsigned 32-bit integers.
+
+    A text with characters whose class newer Unicode versions may have changed, or with a very long word,
+    goes to the library as a whole.
+    """
+    encoding, library = word_rank_encoding(path), library_tokenizer(path)
+
+    def plain(text: str) -> list[int]:
+        if text.isascii():
+            words = _ASCII_WORDS.findall(text.lower())
+        elif _SETTLED.fullmatch(text):
+            # The library lower-cases characters one by one, a sigma at the end of a word as any other.
+            composed = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
+            words = _WORDS.findall(composed.lower())
+        else:
+            return library.encode(text, add_special_tokens=False).ids
+        if not words:
+            return []
+        if max(map(len, words)) > _LONGEST_WORD:
+            return library.encode(text, add_special_tokens=False).ids
+        return encoding.encode_ordinary(_MARK.join(words) + _MARK)
+
+    return _with_added(path, plain)
