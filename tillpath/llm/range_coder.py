@@ -1,18 +1,21 @@
 """Adaptive context-mixing range coder for token ids, many blocks at a time.
 
 A block is coded by itself: its model starts empty, and a checksum covers its ids. The model mixes
-three predictions of the next id:
+three predictions of the next id, each with a weight learnt from its hits and misses in the block:
 
-  order 2   the id that last followed the two before it     (one id, weight by its record so far)
-  order 1   the id that last followed the one before it     (one id, weight by its record so far)
-  order 0   how often each range of 64 ids has come up, refreshed at stated steps, even inside
+  order 2   the id that last followed the two before it
+  order 1   the id that last followed the one before it
+  order 0   how often each range of 64 ids has come up, and inside a range the id that last came up
+            in it; what is left of the range is shared evenly
 
-The two single ids stand as peaks on the order-0 distribution. A record is a state that grows with
-every hit; the weight of a state is learnt from hits and misses in the block. The mixed interval
-drives a range coder with 48-bit state and 16-bit output words.
+An id that order 2 or order 1 names is coded by their weights together, any other by order 0; the
+little that order 0 would add to a named id is given up, which makes every step of the decoder a
+plain comparison. A record of each named id is a state that grows with every hit, and weights are
+kept per state. The interval drives a range coder with 48-bit state and 16-bit output words.
 
-Blocks advance in lockstep, so one array operation serves the same step of all of them. Work memory
-is about 60 kB a block; callers bound the number of blocks in one call.
+Blocks advance in lockstep, so one array operation serves the same step of all of them, and the two
+higher orders share their operations. Work memory is about 100 kB a block; callers bound the number
+of blocks in one call.
 """
 
 from __future__ import annotations
@@ -26,125 +29,178 @@ BLOCK_IDS = 4096
 # Blocks in one call.
 LOCKSTEP = 1024
 
-_MAGIC = b"TPC1"
+_MAGIC = b"TPC2"
 _HEAD = struct.Struct("<4sIII")  # magic, ids, crc32 of the ids as little-endian 32-bit, words
 _SLOTS_BITS = 11
-_WIDTH = 64  # ids in an order-0 range
-_RANGES = 1024  # so ids are below 65536
-_TOTAL_BITS, _BASE_BITS = 24, 18
+_SLOTS = 1 << _SLOTS_BITS
+_WIDTH_BITS = 6
+_WIDTH = 1 << _WIDTH_BITS  # ids in an order-0 range
+_RANGES = 1 << (16 - _WIDTH_BITS)
+# A base of 2^21 is left by the greatest weights, so a range has 2^9 and an even id in it at least 1.
+_TOTAL_BITS, _BASE_BITS = 27, 18
+_MOST, _MOST_INSIDE, _LEAST = 64512, 57344, 512  # bounds of the weights, of 65536
+_BIN_BITS = 8
 _STATES = 8
 _STEP_COUNT = 48  # what one occurrence adds to its order-0 range
 _STATE_BITS = 48
 _LOW_MASK = np.uint64((1 << _STATE_BITS) - 1)
 _TOP = np.uint64(_STATE_BITS - 16)
 _RENEW = np.uint64(1 << 32)
+_TOTAL = np.uint64(_TOTAL_BITS)
+
+# The state after a miss (first row) and after a hit; a miss in state 0 or 1 puts a new id there.
+_NEXT = np.array(
+    [max(1, s >> 1) for s in range(_STATES)] + [min(s + 1, _STATES - 1) for s in range(_STATES)], np.int32
+)
+
+
+def _start_weights(most: int, copies: int) -> np.ndarray:
+    weights = np.linspace(0.04, 0.8, _STATES) * most
+    weights[0] = 0
+    return np.tile(weights.astype(np.int32), copies)
+
+
+class _Peaks:
+    """Remembered ids of `m` blocks with their records, and the weights of the records.
+
+    Rows 0 and 1 are the slots of orders 1 and 2, row 2 the ranges of order 0; all three learn together.
+    """
+
+    def __init__(self, m: int) -> None:
+        self.entry = np.zeros(m * (2 * _SLOTS + _RANGES), np.int32)  # id * 8 + state
+        self.weight = np.concatenate([_start_weights(_MOST, 2 * m), _start_weights(_MOST_INSIDE, m)])
+        self.most = np.array([[_MOST], [_MOST], [_MOST_INSIDE]], np.int32)
+        self.at, self.learner = np.empty((3, m), np.int64), np.empty((3, m), np.int64)
+        self.id, self.state = np.empty((3, m), np.int32), np.empty((3, m), np.int32)
+        self.share = np.empty((3, m), np.int32)
+
+    def look(self, rows: slice, active: int, at: np.ndarray, learner_row: np.ndarray) -> None:
+        self.at[rows, :active] = at
+        entry = self.entry.take(at)
+        state = entry & (_STATES - 1)
+        self.state[rows, :active] = state
+        self.id[rows, :active] = entry >> 3
+        learner = learner_row + state
+        self.learner[rows, :active] = learner
+        self.share[rows, :active] = self.weight.take(learner)
+
+    def learn(self, active: int, hit: np.ndarray, ids: np.ndarray, plain: np.ndarray) -> None:
+        """`hit` tells per row whether the remembered id came up; row 2 learns where order 0 coded the id (`plain`)."""
+        state, named, share = self.state[:, :active], self.id[:, :active], self.share[:, :active]
+        known = state > 0
+        known[2] &= plain
+        change = (np.where(hit, self.most, _LEAST) - share) >> 4
+        entry = (np.where(hit | (state > 1), named, ids) << 3) | _NEXT.take(state + (hit << 3))
+        entry[2] = np.where(plain, entry[2], (named[2] << 3) | state[2])
+        self.weight[self.learner[:, :active]] = share + change * known
+        self.entry[self.at[:, :active]] = entry
 
 
 class _Model:
     """Predictions of `m` blocks in lockstep."""
 
-    def __init__(self, m: int) -> None:
-        size = m << _SLOTS_BITS
-        self.rows = np.arange(m, dtype=np.int64)
-        self.follower = [np.zeros(size, np.uint16) for _ in range(2)]
-        self.record = [np.zeros(size, np.uint8) for _ in range(2)]
-        learnt = np.linspace(0.04, 0.8, _STATES) * 65536
-        learnt[0] = 0
-        self.weight = [np.tile(learnt.astype(np.int64), m) for _ in range(2)]
+    def __init__(self, m: int, longest: int, bins: bool) -> None:
+        rows = np.arange(m, dtype=np.int64)
+        self.peaks = _Peaks(m)
+        orders = np.stack([rows, rows + m, rows + 2 * m])
+        self.slot_row, self.learner_row = orders[:2] << _SLOTS_BITS, orders * _STATES
+        self.range_row, self.row = 2 * m * _SLOTS + rows * _RANGES, rows * (_RANGES + 1)
+        self.bin_row = rows << (_BASE_BITS - _BIN_BITS)
         self.count = np.ones((m, _RANGES), np.int32)
-        self.cumulative = np.zeros((m, _RANGES + 1), np.int64)
-        # Flat views: one index instead of two.
-        self.flat_count, self.flat = self.count.reshape(-1), self.cumulative.reshape(-1)
-        self.count_row, self.row = self.rows * _RANGES, self.rows * (_RANGES + 1)
-        self._refresh(m)
+        self.cumulative = np.zeros((m, _RANGES + 1), np.int32)
+        self.flat = self.cumulative.reshape(-1)
+        self.bins = np.zeros((m, 1 << (_BASE_BITS - _BIN_BITS)), np.int32) if bins else None
+        self.seen = np.zeros((longest, m), np.int16)  # the range of ids that order 0 coded, else -1
+        self.counted = 0
+        self._refresh(m, 0)
 
-    def _refresh(self, active: int) -> None:
+    def _refresh(self, active: int, done: int) -> None:
+        """Order-0 distribution from the counts of the first `done` ids."""
         spare = (1 << _BASE_BITS) - _WIDTH * _RANGES
         steps = _WIDTH * np.arange(1, _RANGES + 1)
         for at in range(0, active, 64):  # slices that stay in the cache
             part = slice(at, min(active, at + 64))
+            rows = part.stop - part.start
+            if done > self.counted:
+                new = self.seen[self.counted : done, part].astype(np.int64)
+                new += np.arange(rows) * _RANGES + (new < 0) * (rows * _RANGES + 1)
+                found = np.bincount(np.minimum(new, rows * _RANGES).ravel(), minlength=rows * _RANGES + 1)
+                self.count[part] += (_STEP_COUNT * found[:-1]).astype(np.int32).reshape(rows, _RANGES)
             sums = np.cumsum(self.count[part], axis=1, dtype=np.int64)
             factor = spare / sums[:, -1:]
             self.cumulative[part, 1:] = (sums * factor).astype(np.int64) + steps
             self.cumulative[part, -1] = 1 << _BASE_BITS
+            if self.bins is not None:
+                # The range that holds the start of each bin.
+                starts = -(-self.cumulative[part] >> _BIN_BITS)
+                ranges = np.tile(np.arange(_RANGES, dtype=np.int32), rows)
+                self.bins[part] = np.repeat(ranges, np.diff(starts, axis=1).ravel()).reshape(rows, -1)
+        self.counted = done
 
     def predict(self, active: int, last: np.ndarray, before: np.ndarray) -> None:
-        """Peaks and base for the next id; `last` and `before` are the two ids ahead of it."""
-        mask = (1 << _SLOTS_BITS) - 1
-        base = self.rows[:active] << _SLOTS_BITS
-        slot1 = ((last * 40503) >> 4) & mask
-        slot2 = ((last * 48271 + before * 69621) >> 5) & mask
-        self.at = [base + slot1, base + slot2]
-        self.peak = [self.follower[k][self.at[k]].astype(np.int64) for k in range(2)]
-        self.state = [self.record[k][self.at[k]].astype(np.int64) for k in range(2)]
-        self.learner = [(self.rows[:active] << 3) + s for s in self.state]
-        # At most 2^23 - 2^17 each, so a base of 2^18 always remains.
-        self.mass = [np.minimum(self.weight[k][self.learner[k]], 64512) << 7 for k in range(2)]
-        rest = (1 << _TOTAL_BITS) - self.mass[0] - self.mass[1]
-        self.scale = rest >> _BASE_BITS
-
-    def base_interval(self, active: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of `ids` on the order-0 distribution alone."""
-        at = self.row[:active] + (ids >> 6)
-        first = self.flat[at]
-        width = (self.flat[at + 1] - first) * self.scale
-        inside = ids & (_WIDTH - 1)
-        start = (width * inside) >> 6
-        return first * self.scale + start, ((width * (inside + 1)) >> 6) - start
-
-    def interval(self, active: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start, width = self.base_interval(active, ids)
-        for k in range(2):
-            start = start + self.mass[k] * (self.peak[k] < ids)
-            width = width + self.mass[k] * (self.peak[k] == ids)
-        return start, width
+        """Named ids and their weights for the next id; `last` and `before` are the two ids ahead of it."""
+        slots = np.empty((2, active), np.int64)
+        np.multiply(last, 48271, out=slots[0])
+        np.multiply(before, 69621, out=slots[1])
+        slots[1] += slots[0]
+        slots >>= 5
+        slots &= (1 << _SLOTS_BITS) - 1
+        slots += self.slot_row[:, :active]
+        self.peaks.look(slice(0, 2), active, slots, self.learner_row[:2, :active])
+        self.mass = self.peaks.share[:2, :active].astype(np.int64) << (_TOTAL_BITS - 1 - 16)
+        self.base = self.mass[0] + self.mass[1]
+        self.scale = ((1 << _TOTAL_BITS) - self.base) >> _BASE_BITS
 
-    def _invert(self, active: int, place: np.ndarray) -> np.ndarray:
-        """The id whose base interval holds `place`."""
-        place = np.maximum(place, 0)
-        unit = place // self.scale
-        row = self.row[:active]
-        at = row.copy()
-        half = _RANGES >> 1
-        while half:
-            at += half * (self.flat[at + half] <= unit)
-            half >>= 1
-        first = self.flat[at]
-        width = (self.flat[at + 1] - first) * self.scale
-        inside = (64 * (place - first * self.scale + 1) - 1) // width
-        return ((at - row) << 6) + np.minimum(inside, _WIDTH - 1)
+    def _open(self, active: int, ranges: np.ndarray) -> None:
+        """Order 0 inside the range of every row."""
+        at = self.row[:active] + ranges
+        first = self.flat.take(at)
+        self.first = first * self.scale
+        whole = (self.flat.take(at + 1) - first) * self.scale
+        self.peaks.look(slice(2, 3), active, self.range_row[:active] + ranges, self.learner_row[2, :active])
+        self.peak = (whole * self.peaks.share[2, :active]) >> 16
+        self.even = whole - self.peak
+
+    def interval(self, active: int, ids: np.ndarray, opened: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of `ids`; `opened` if their ranges were found by `find`."""
+        if not opened:
+            self._open(active, ids >> _WIDTH_BITS)
+        within = ids & (_WIDTH - 1)
+        self.ids = np.stack([ids, ids, within]).astype(np.int32)
+        self.hit = (self.peaks.id[:, :active] == self.ids) & (self.peaks.state[:, :active] > 0)
+        one, two, peak = self.hit
+        start = (self.even * within) >> _WIDTH_BITS
+        width = ((self.even * (within + 1)) >> _WIDTH_BITS) - start
+        start = self.base + self.first + np.where(peak, 0, self.peak + start)
+        width = np.where(peak, self.peak, width)
+        self.plain = ~(two | one)
+        # Order 2 lies first, order 1 next to it: one interval if both name the id.
+        start = np.where(self.plain, start, np.where(two, 0, self.mass[1]))
+        width = np.where(self.plain, width, self.mass[1] * two + self.mass[0] * one)
+        return start, width
 
     def find(self, active: int, place: np.ndarray) -> np.ndarray:
-        """The id whose mixed interval holds `place`."""
-        swap = self.peak[0] > self.peak[1]
-        a, b = np.where(swap, self.peak[1], self.peak[0]), np.where(swap, self.peak[0], self.peak[1])
-        ma, mb = np.where(swap, self.mass[1], self.mass[0]), np.where(swap, self.mass[0], self.mass[1])
-        sa, wa = self.base_interval(active, a)
-        sb, wb = self.base_interval(active, b)
-        below_a, below_b = place < sa, place < sb + ma
-        at_a = ~below_a & (place < sa + wa + ma)
-        at_b = ~below_b & ~at_a & (place < sb + ma + wb + mb)
-        less = np.where(below_a, 0, np.where(below_b, ma, ma + mb))
-        plain = self._invert(active, place - less)
-        return np.where(at_a, a, np.where(at_b, b, plain))
+        """The id whose interval holds `place`."""
+        rest = np.maximum(place - self.base, 0)
+        unit = np.minimum(rest // self.scale, (1 << _BASE_BITS) - 1)
+        row = self.row[:active] + 1
+        ranges = self.bins.reshape(-1).take(self.bin_row[:active] + (unit >> _BIN_BITS)).astype(np.int64)
+        # A bin is as wide as four of the narrowest ranges.
+        for _ in range((1 << _BIN_BITS) // _WIDTH):
+            ranges += self.flat.take(row + ranges) <= unit
+        self._open(active, ranges)
+        off = rest - self.first
+        even = np.minimum((_WIDTH * (off - self.peak + 1) - 1) // self.even, _WIDTH - 1)
+        plain = (ranges << _WIDTH_BITS) + np.where(off < self.peak, self.peaks.id[2, :active], even)
+        one, two = self.peaks.id[:2, :active]
+        return np.where(place < self.mass[1], two, np.where(place < self.base, one, plain))
 
     def update(self, active: int, step: int, ids: np.ndarray) -> None:
-        for k in range(2):
-            hit = self.peak[k] == ids
-            state, learner = self.state[k], self.learner[k]
-            weight = self.weight[k][learner]
-            known = state > 0
-            self.weight[k][learner] = weight + np.where(known, (np.where(hit, 65535, 0) - weight) >> 4, 0)
-            stays = hit & known
-            replaced = ~stays & (state <= 1)
-            self.follower[k][self.at[k]] = np.where(replaced, ids, self.peak[k])
-            self.record[k][self.at[k]] = np.where(
-                stays, np.minimum(state + 1, _STATES - 1), np.where(replaced, 1, state >> 1)
-            )
-        self.flat_count[self.count_row[:active] + (ids >> 6)] += _STEP_COUNT
+        self.peaks.learn(active, self.hit, self.ids, self.plain)
+        self.seen[step, :active] = np.where(self.plain, ids >> _WIDTH_BITS, -1)
         done = step + 1
         if done % 256 == 0 or done in (16, 32, 64, 128):
-            self._refresh(active)
+            self._refresh(active, done)
 
 
 def _spread(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,13 +221,14 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         ids[: sizes[block], column] = blocks[block]
     if ids.max(initial=0) >= _WIDTH * _RANGES or ids.min(initial=0) < 0:
         raise ValueError("ids must be below 65536")
-    words = np.zeros((m, 2 * longest + 4), np.int64)
+    # Blocks have written about as many words each, so a row of words is what one step touches.
+    words = np.zeros((2 * longest + 4, m), np.int32)
     used = np.zeros(m, np.int64)
     low, size = np.zeros(m, np.uint64), np.full(m, 1 << _STATE_BITS, np.uint64)
-    model, rows = _Model(m), np.arange(m)
+    model, rows = _Model(m, longest, False), np.arange(m)
 
     def shift_out(which: np.ndarray) -> None:
-        words[which, used[which]] = (low[which] >> _TOP).astype(np.int64)
+        words[used[which], which] = low[which] >> _TOP
         used[which] += 1
         low[which] = (low[which] << np.uint64(16)) & _LOW_MASK
         size[which] <<= np.uint64(16)
@@ -184,27 +241,27 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         now = ids[step, :act]
         model.predict(act, last, before)
         start, width = model.interval(act, now)
-        unit = size[:act] >> np.uint64(_TOTAL_BITS)
+        unit = size[:act] >> _TOTAL
         low[:act] += unit * start.astype(np.uint64)
         size[:act] = unit * width.astype(np.uint64)
         # A carry goes to the word before; words are settled at the end.
         carried = np.flatnonzero(low[:act] >> np.uint64(_STATE_BITS))
         if len(carried):
-            words[carried, used[carried] - 1] += 1
+            words[used[carried] - 1, carried] += 1
             low[carried] &= _LOW_MASK
         while len(short := np.flatnonzero(size[:act] < _RENEW)):
             shift_out(short)
         model.update(act, step, now)
     for _ in range(3):
         shift_out(rows)
-    for column in range(words.shape[1] - 1, 0, -1):
-        words[:, column - 1] += words[:, column] >> 16
-        words[:, column] &= 0xFFFF
+    for at in range(int(used.max(initial=1)) - 1, 0, -1):
+        words[at - 1] += words[at] >> 16
+    words = np.ascontiguousarray(words.T.astype("<u2"))
     out: list[bytes] = [b""] * m
     for column, block in enumerate(order):
         plain = np.asarray(blocks[block]).astype("<u4").tobytes()
         head = _HEAD.pack(_MAGIC, int(sizes[block]), zlib.crc32(plain), int(used[column]))
-        out[block] = head + words[column, : used[column]].astype("<u2").tobytes()
+        out[block] = head + words[column, : used[column]].tobytes()
     return out
 
 
@@ -220,28 +277,30 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
         heads.append((size, crc, used))
     order, sizes, going = _spread([np.empty(h[0], np.uint8) for h in heads])
     m, longest = len(payloads), len(going)
-    words = np.zeros((m, max((h[2] for h in heads), default=0) + 4), np.uint64)
+    most = max((h[2] for h in heads), default=0) + 4
+    words = np.zeros((m, most), np.uint16)
     for column, block in enumerate(order):
         words[column, : heads[block][2]] = np.frombuffer(payloads[block], "<u2", offset=_HEAD.size)
+    words = np.ascontiguousarray(words.T)
     sixteen = np.uint64(16)
     # `value` is what the code holds above the low end of the range.
-    value = (words[:, 0] << np.uint64(32)) | (words[:, 1] << sixteen) | words[:, 2]
+    value = (words[0].astype(np.uint64) << np.uint64(32)) | (words[1].astype(np.uint64) << sixteen) | words[2]
     size, used = np.full(m, 1 << _STATE_BITS, np.uint64), np.full(m, 3, np.int64)
     ids = np.zeros((longest, m), np.int64)
-    model, zero = _Model(m), np.zeros(m, np.int64)
+    model, zero = _Model(m, longest, True), np.zeros(m, np.int64)
     for step in range(longest):
         act = int(going[step])
         last = ids[step - 1, :act] if step else zero[:act]
         before = ids[step - 2, :act] if step > 1 else zero[:act]
         model.predict(act, last, before)
-        unit = size[:act] >> np.uint64(_TOTAL_BITS)
+        unit = size[:act] >> _TOTAL
         place = np.minimum(value[:act] // unit, np.uint64((1 << _TOTAL_BITS) - 1)).astype(np.int64)
-        now = np.clip(model.find(act, place), 0, _WIDTH * _RANGES - 1)
-        start, width = model.interval(act, now)
+        now = model.find(act, place)
+        start, width = model.interval(act, now, opened=True)
         value[:act] -= unit * start.astype(np.uint64)
         size[:act] = unit * width.astype(np.uint64)
         while len(short := np.flatnonzero(size[:act] < _RENEW)):
-            value[short] = ((value[short] << sixteen) | words[short, np.minimum(used[short], words.shape[1] - 1)]) & _LOW_MASK
+            value[short] = ((value[short] << sixteen) | words[np.minimum(used[short], most - 1), short]) & _LOW_MASK
             size[short] <<= sixteen
             used[short] += 1
         ids[step, :act] = now
