@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans, KMeansModel
+import numpy as np
+import pyarrow as pa
+from pyspark import RDD
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -55,31 +60,132 @@ def _vectors(scaled: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=_SCALED, outputCol="features").transform(scaled)
 
 
-def _best_of(vectors: DataFrame, k: int, seed: int, restarts: int) -> KMeansModel:
-    """The fit with the lowest cost over several seeds; ties keep the first.
+# Lloyd's steps end when no centre moves further, or after so many.
+_TOLERANCE = 1e-4
+_MOST_STEPS = 300
+# Rows whose distances to all centres are held at once.
+_SLICE = 2048
 
-    A few fits run side by side, since each is a chain of short jobs over the same cached vectors.
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of z-scores as one value each."""
+    for batch in batches:
+        rows = np.column_stack([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+        yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], ["rows"])
+
+
+def _nearest_sums(
+    packed: Iterable[bytes], fits: list[np.ndarray]
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """One partition: per centre of every fit the sum and the count of its rows, and the cost of every fit.
+
+    Fits with equally many centres are worked on together. A row belongs to the first of equally near centres.
+    """
+    width = fits[0].shape[1]
+    starts = np.cumsum([0, *map(len, fits)])
+    sums, costs = np.zeros((starts[-1], width + 1)), np.zeros(len(fits))
+    groups = []
+    for k in sorted({len(f) for f in fits}):
+        members = [i for i, f in enumerate(fits) if len(f) == k]
+        places = np.concatenate([np.arange(starts[i], starts[i] + k) for i in members])
+        centres = np.concatenate([fits[i] for i in members])
+        # Times (row, 1): the squared distance less the square of the row.
+        groups.append((k, members, places, np.column_stack([-2 * centres, (centres * centres).sum(axis=1)])))
+    for block in packed:
+        rows = np.frombuffer(block).reshape(-1, width)
+        for at in range(0, len(rows), _SLICE):
+            part = rows[at:at + _SLICE]
+            with_one = np.column_stack([part, np.ones(len(part))])
+            squares = (part * part).sum(axis=1)
+            for k, members, places, weights in groups:
+                distances = (weights @ with_one.T).reshape(len(members), k, len(part))
+                least = distances.min(axis=1)
+                nearest = distances == least[:, None]
+                if np.count_nonzero(nearest) > least.size:
+                    nearest &= nearest.cumsum(axis=1) == 1
+                sums[places] += nearest.reshape(len(places), len(part)).astype(float) @ with_one
+                costs[members] += np.maximum(least + squares, 0).sum(axis=1)
+    yield sums, costs
+
+
+def _descend(packed: RDD, centres: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+    """Centres and cost of every fit, from its starting centres by Lloyd's steps.
+
+    All fits take each step in one pass; a fit that stands still leaves. Steps, end and cost (that of the centres
+    before the last step) are those of MLlib, which makes a chain of passes for each fit.
+    """
+    centres, costs = list(centres), [0.0] * len(centres)
+    moving = list(range(len(centres)))
+    for _ in range(_MOST_STEPS):
+        if not moving:
+            break
+        sent = packed.context.broadcast([centres[i] for i in moving])
+        sums, found = packed.mapPartitions(lambda blocks: _nearest_sums(blocks, sent.value)).reduce(
+            lambda one, other: (one[0] + other[0], one[1] + other[1])
+        )
+        sent.destroy()
+        still, at = [], 0
+        for i, cost in zip(moving, found):
+            own = sums[at:at + len(centres[i])]
+            at += len(own)
+            # A centre without rows stays.
+            moved = np.where(own[:, -1:] > 0, own[:, :-1] / np.maximum(own[:, -1:], 1), centres[i])
+            costs[i] = float(cost)
+            if (((moved - centres[i]) ** 2).sum(axis=1) > _TOLERANCE**2).any():
+                still.append(i)
+            centres[i] = moved
+        moving = still
+    return list(zip(centres, costs))
+
+
+def _nearest(place: list[Column], centres: np.ndarray) -> Column:
+    """Number of the nearest centre, the first of equally near ones."""
+    squares = [sum((p - float(c)) * (p - float(c)) for p, c in zip(place, centre)) for centre in centres]
+    return F.array_min(F.array(*[F.struct(d, F.lit(i)) for i, d in enumerate(squares)]))["col2"]
+
+
+def _best_fits(
+    scaled: DataFrame, vectors: DataFrame, ks: Iterable[int], seed: int, restarts: int
+) -> dict[int, tuple[np.ndarray, float]]:
+    """Per k the centres and cost of the cheapest fit over several seeds; ties keep the first.
+
+    MLlib draws the starting centres of every fit, a few passes each and a few fits side by side. All fits of
+    all k then descend together, so the passes do not add up over the fits.
     """
+    tasks = [(k, seed + i) for k in ks for i in range(restarts)]
+
+    def start(task: tuple[int, int]) -> np.ndarray:
+        k, own_seed = task
+        return np.array(KMeans(k=k, seed=own_seed, maxIter=0, solver="row").fit(vectors).clusterCenters())
+
     with ThreadPoolExecutor(max_workers=4) as pool:
-        fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=300).fit(vectors), range(restarts)))
-    return min(fits, key=lambda model: model.summary.trainingCost)
+        starts = list(pool.map(start, tasks))
+    packed = scaled.select(*_SCALED).mapInArrow(_packed, "rows binary").rdd.map(lambda row: row["rows"])
+    # One wave of tasks per pass.
+    packed = packed.coalesce(packed.context.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fits = _descend(packed, starts)
+    finally:
+        packed.unpersist()
+    best: dict[int, tuple[np.ndarray, float]] = {}
+    for (k, _), fit in zip(tasks, fits):
+        if k not in best or fit[1] < best[k][1]:
+            best[k] = fit
+    return best
 
 
 @dataclass(frozen=True)
 class Segmenter:
-    """A fitted segmentation: scaler and clusters."""
+    """A fitted segmentation: scaler and centres of the clusters."""
 
     scaler: RfmScaler
-    model: KMeansModel
-
-    @property
-    def centers(self) -> list[list[float]]:
-        return [list(map(float, c)) for c in self.model.clusterCenters()]
+    centers: list[list[float]]
 
     def predict(self, scores: DataFrame) -> DataFrame:
         """Add `cluster_id`, one map-side pass."""
-        clustered = self.model.transform(_vectors(self.scaler.transform(scores)))
-        return clustered.withColumnRenamed("prediction", "cluster_id").drop("features", *_SCALED)
+        scaled = self.scaler.transform(scores)
+        nearest = _nearest([F.col(c) for c in _SCALED], np.array(self.centers))
+        return scaled.withColumn("cluster_id", nearest).drop(*_SCALED)
 
 
 def kmeans_fit(
@@ -90,13 +196,15 @@ def kmeans_fit(
     restarts: int = 10,
 ) -> Segmenter:
     scaler = RfmScaler.fit(scores)
-    vectors = _vectors(scaler.transform(scores)).select("features")
+    scaled = scaler.transform(scores)
+    vectors = _vectors(scaled).select("features")
     vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    k = k or settings.segments
     try:
-        model = _best_of(vectors, k or settings.segments, settings.seed, restarts)
+        centres, _ = _best_fits(scaled, vectors, [k], settings.seed, restarts)[k]
     finally:
         vectors.unpersist()
-    return Segmenter(scaler, model)
+    return Segmenter(scaler, centres.tolist())
 
 
 def kmeans_sweep(
@@ -108,18 +216,19 @@ def kmeans_sweep(
 ) -> DataFrame:
     """(k, inertia, silhouette) per number of clusters.
 
-    The loop runs over models, each fit and each evaluation is a distributed job over the cached
-    vectors. The silhouette uses squared distances, which needs one pass instead of all pairs.
+    All fits of all k take their steps in common passes over the cached rows, each evaluation is a
+    distributed job. The silhouette uses squared distances, which needs one pass instead of all pairs.
     """
-    vectors = _vectors(rfm_features(scores)).select("features")
+    scaled = rfm_features(scores)
+    vectors = _vectors(scaled).select("features")
     vectors.persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
+    place = [vector_to_array("features")[i] for i in range(len(_SCALED))]
     rows = []
     try:
-        for k in ks:
-            model = _best_of(vectors, k, settings.seed, restarts)
-            silhouette = evaluator.evaluate(model.transform(vectors))
-            rows.append((k, float(model.summary.trainingCost), float(silhouette)))
+        for k, (centres, cost) in _best_fits(scaled, vectors, ks, settings.seed, restarts).items():
+            silhouette = evaluator.evaluate(vectors.withColumn("prediction", _nearest(place, centres)))
+            rows.append((k, cost, float(silhouette)))
     finally:
         vectors.unpersist()
     return scores.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double").select(
