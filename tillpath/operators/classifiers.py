@@ -65,7 +65,7 @@ def _classifier(name: str, n_train: int, settings: Settings, rounds: int):
         )
     if name == "random_forest":
         return RandomForestClassifier(
-            numTrees=rounds, maxDepth=10, minInstancesPerNode=20, **columns
+            numTrees=rounds, maxDepth=10, minInstancesPerNode=20, cacheNodeIds=True, **columns
         )
     if name == "boosted_trees":
         return GBTClassifier(
