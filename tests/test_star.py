@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from checks import testbed
 from tests.conftest import day
 from tillpath import schemas
 from tillpath.fixed_values import AGE_SHARES, CHANNEL_SHARES, COUNTRY_REGION
@@ -119,6 +120,47 @@ def test_line_numbers_are_dense_with_identical_lines(spark, buckets):
     assert sorted(r["transaction_id"] for r in got.collect()) == list(range(1, 301))
 
 
+def test_lines_are_stored_with_their_place(spark):
+    df = spark.range(50).select(F.lit(1).alias("date_id"), F.col("id").cast("string").alias("text"))
+    got = star.number_lines(df, ["text"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # What is read again needs no window over rows, and so no shuffle of them.
+    assert "row_number" not in plan and "_digest" not in plan
+    assert sorted(r["transaction_id"] for r in got.collect()) == list(range(1, 51))
+
+
+@pytest.mark.parametrize("most, kind", [(100, "LeftAnti"), (0, "LeftSemi")])
+def test_lines_of_customers_with_missing_null_and_repeated_keys(spark, most, kind):
+    sold = spark.createDataFrame(
+        [("1", 7), ("2", 7), ("3", 8), ("4", None), ("5", 9), ("5", 9)], "invoice string, customer_id long"
+    )
+    customers = spark.createDataFrame([(7,), (7,), (9,), (None,)], "customer_id long")
+    got = star.of_customers(sold, customers, most=most)
+    assert sorted((r["invoice"], r["customer_id"]) for r in got.collect()) == [("1", 7), ("2", 7), ("5", 9), ("5", 9)]
+    assert kind in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_raw_feed_joins_orders_and_customers_before_the_lines(spark, tmp_path):
+    moment = dt.datetime(1998, 12, 15)
+    made = {
+        "customer": ([(1, 0), (2, 1), (2, 2)], "c_custkey long, c_nationkey int"),
+        "orders": ([(5, 1, moment), (6, 2, moment), (7, None, moment)], "o_orderkey long, o_custkey long, o_orderdate timestamp"),
+        "part": ([(3, "red ring")], "p_partkey long, p_name string"),
+        "lineitem": (
+            [(5, 3, 1.0, 2.0, "N"), (6, 3, 2.0, 4.0, "R"), (6, 4, 2.0, 4.0, "N"), (7, 3, 1.0, 2.0, "N")],
+            "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string",
+        ),
+    }
+    for name, (data, kind) in made.items():
+        spark.createDataFrame(data, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    parts = testbed.raw_parts(spark, str(tmp_path))
+    for part in parts:
+        got = sorted((r["Invoice"], r["Country"], r["Quantity"]) for r in part.collect())
+        assert got == [("5", "United Kingdom", 1), ("C6", "EIRE", -2), ("C6", "France", -2)]
+        joins = [x for x in part._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+        assert "p_partkey" in joins[0] and "o_custkey" in joins[-1]
+
+
 def test_validation_finds_planted_faults(lines):
     built = star.build_star(lines)
     expected = {"dim_dates": 4, "dim_products": 3, "dim_customers": 3, "fact_transactions": 5}

@@ -10,7 +10,7 @@ from tillpath.fixed_values import AGE_SHARES, CHANNEL_SHARES, OTHER_REGION
 from tillpath.functions.numeric import weighted_choice
 from tillpath.operators.ranking import dense_key
 from tillpath.schemas import CLEANED, DIM_CUSTOMERS, DIM_DATES, DIM_PRODUCTS, Star
-from tillpath.session import stage
+from tillpath.session import cut, stage
 
 
 def calendar(span: DataFrame) -> DataFrame:
@@ -129,9 +129,9 @@ def number_lines(
     rows, and a row's id is what came before its bucket plus its place in it. The id depends on the
     content only, so a recomputed task assigns the same ones.
 
-    `lines` are stored once with their buckets: counting and numbering read the stored rows, so
-    the joins that made `lines` run once. Stored are the columns `keep` (all if not given), the digest of the
-    content and the bucket; the content itself is not needed any more.
+    `lines` are stored once with their buckets and places: counting and the final ids read the stored rows,
+    so the joins that made `lines` run once, and what is stored needs no further shuffle of rows. Stored are the columns
+    `keep` (all if not given), the bucket and the place in it; content and digest are not needed any more.
     """
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content]
     digest = F.md5(F.concat_ws("|", *texts))
@@ -139,21 +139,39 @@ def number_lines(
     keyed = lines.select(
         *(keep or lines.columns), F.unhex(digest).alias("_digest"), bucket.cast("int").alias("_bucket")
     )
-    keyed = stage(keyed, "keyed-lines")
-    sizes = keyed.groupBy("date_id", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    inside = Window.partitionBy("date_id", "_bucket").orderBy("_digest")
+    placed = stage(keyed.withColumn("_place", F.row_number().over(inside)).drop("_digest"), "placed-lines")
+    sizes = placed.groupBy("date_id", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("date_id", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         "date_id", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy("date_id", "_bucket").orderBy("_digest")
     return (
-        keyed.withColumn("_place", F.row_number().over(inside))
-        .join(F.broadcast(starts), ["date_id", "_bucket"])
+        placed.join(F.broadcast(starts), ["date_id", "_bucket"])
         .withColumn("transaction_id", F.col("_before") + F.col("_place"))
-        .drop("_digest", "_bucket", "_before", "_place")
+        .drop("_bucket", "_before", "_place")
     )
 
 
+# Up to this many customers that lines name and the dimension lacks, the lines stay where they are.
+_STRANGERS = 100_000
+
+
+def of_customers(lines: DataFrame, customers: DataFrame, *, most: int = _STRANGERS) -> DataFrame:
+    """The lines whose customer is in `customers`.
+
+    Few or no customers of the lines are missing from a dimension that was built from them. So only
+    the distinct numbers are shuffled to find those, and their lines are dropped by a broadcast; where
+    more than `most` are missing the lines are shuffled.
+    """
+    numbers = customers.select("customer_id")
+    known = lines.where(F.col("customer_id").isNotNull())
+    strangers = cut(known.select("customer_id").distinct().join(numbers, "customer_id", "left_anti"))
+    if strangers.count() <= most:
+        return known.join(F.broadcast(strangers), "customer_id", "left_anti")
+    return known.join(numbers, "customer_id", "left_semi")
+
+
 def fact_transactions(
     lines: DataFrame,
     dates: DataFrame,
@@ -166,16 +184,13 @@ def fact_transactions(
 
     `buckets` is part of the numbering (see `number_lines`): raise it where days are very large.
 
-    Only the calendar is broadcast by hint (one row per day). Products and customers grow with the
-    data: their joins are left to size statistics and adaptive execution.
+    The calendar is broadcast by hint (one row per day), and so are the customers that are missing, if
+    few (see `of_customers`, which reads `lines` once more). Products grow with the data: their join is
+    left to size statistics and adaptive execution.
     """
-    known = lines.where(F.col("customer_id").isNotNull()).withColumn(
-        "full_date", F.to_date("invoice_date")
-    )
-    keyed = (
-        known.join(F.broadcast(dates.select("full_date", "date_id")), "full_date")
-        .join(products.select("stock_code", "product_id"), "stock_code")
-        .join(customers.select("customer_id"), "customer_id", "left_semi")
+    known = of_customers(lines, customers).withColumn("full_date", F.to_date("invoice_date"))
+    keyed = known.join(F.broadcast(dates.select("full_date", "date_id")), "full_date").join(
+        products.select("stock_code", "product_id"), "stock_code"
     )
     # The raw columns that the fact drops still help to tell lines apart when spreading them.
     numbered = number_lines(
