@@ -45,8 +45,13 @@ class TrainingData:
 
 
 def prepare(features: DataFrame, settings: Settings = DEFAULTS) -> TrainingData:
-    """Impute, encode and split. The encoder sees all rows, as the categories are closed lists."""
-    complete = impute(features)
+    """Impute, encode and split. The encoder sees all rows, as the categories are closed lists.
+
+    The features come from all lines, and the encoder, the bounds of the split and its rows each go
+    through them; so they are staged first.
+    """
+    used = ["customer_id", *NUMERIC_FEATURES, *CATEGORICAL_FEATURES, "churn_label"]
+    complete = stage(impute(features).select(*used), "features")
     encoder = fit_encoder(complete)
     split = stratified_split(encoder.transform(complete), settings)
     labelled = split.select(
