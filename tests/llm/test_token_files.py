@@ -84,3 +84,47 @@ def test_files_give_every_document_back(spark, some_docs, odd_docs, tmp_path, bl
 def test_empty_table(spark, odd_docs, tmp_path):
     tf.write(odd_docs.limit(0), str(tmp_path / "none"))
     assert tf.read_index(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_all_lanes_of_all_blocks_advance_together(monkeypatch):
+    steps, look = [], rc._Followers.look
+    monkeypatch.setattr(rc._Followers, "look", lambda self, active, *ids: steps.append(active) or look(self, active, *ids))
+    blocks = [np.arange(4096) % k for k in (7, 300, 4096)] + [np.arange(100)]
+    payloads = rc.encode_blocks(blocks)
+    assert max(steps) > 3 * 4096 // 64 and len(steps) <= 64
+    steps.clear()
+    assert [b.tolist() for b in rc.decode_blocks(payloads)] == [b.tolist() for b in blocks]
+    assert len(steps) <= 64
+
+
+def test_long_and_ragged_blocks_beside_others():
+    rng = np.random.default_rng(5)
+    blocks = [np.minimum(rng.zipf(1.2, n), 65535) for n in (1, 63, 64, 65, 129, 4097, 50000)] + [rng.integers(0, 65536, 70000)]
+    payloads = rc.encode_blocks(blocks)
+    assert [rc.encode_blocks([b])[0] for b in blocks] == payloads
+    assert [b.tolist() for b in rc.decode_blocks(payloads[::-1])][::-1] == [b.tolist() for b in blocks]
+
+
+def test_a_block_is_smaller_than_its_single_ids_say():
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 49408, 400)
+    ids = words[np.minimum(rng.zipf(1.4, 4096), 400) - 1]
+    counts = np.unique(ids, return_counts=True)[1]
+    entropy = -(counts * np.log2(counts / 4096)).sum() / 8
+    # Telling the ids takes at most two bytes each, a lane at most four.
+    assert len(rc.encode_blocks([ids])[0]) < 1.1 * entropy + 2 * len(counts) + 4 * 128 + 100
+
+
+def test_damage_is_told_or_does_no_harm():
+    rng = np.random.default_rng(7)
+    ids = np.minimum(rng.zipf(1.3, 1500), 65535)
+    payload, told = rc.encode_blocks([ids])[0], 0
+    for place in rng.integers(0, len(payload), 300):
+        broken = bytearray(payload)
+        broken[place] ^= 1 << rng.integers(0, 8)
+        try:
+            # The last word of a lane may name another place in the same interval.
+            assert (rc.decode_blocks([bytes(broken)])[0] == ids).all()
+        except ValueError:
+            told += 1
+    assert told > 270

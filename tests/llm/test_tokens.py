@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tillpath.llm import bpe, token_counts
+from tillpath.llm import tokens
 from tillpath.llm.tokens import byte_level_encoder, library_tokenizer, rank_encoding, rank_ids, word_encoder, word_rank_encoding, _byte_letters, _SETTLED
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -193,3 +194,25 @@ def test_added_tokens_in_a_text_give_their_ids(name, encoder):
     for text in texts:
         assert list(memoryview(own(text)).cast("I")) == plain.encode(text, add_special_tokens=False).ids, text
     assert list(memoryview(own(texts[0])).cast("I")) == ([5303, 220, 50256, 2124] if "50k" in name else [1883, 49407, 343])
+
+
+def test_pieces_between_white_space_are_encoded_once():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoding, asked = word_rank_encoding(path), []
+
+    class Counting:
+        def encode_ordinary(self, text):
+            asked.append(text)
+            return encoding.encode_ordinary(text)
+
+    pieces = tokens._Pieces(Counting())
+    text = "the cat, the dog's the\tcat, été the"
+    assert b"".join(map(pieces.__getitem__, text.encode().split())) == word_encoder(path)(text)
+    assert len(asked) == len(set(asked)) == 4
+    # Long pieces are not kept; a long word is the library's.
+    long = b"ab," * 100
+    assert pieces[long] == pieces[long] and long not in pieces
+    with pytest.raises(tokens._LongWord):
+        pieces[b"q" * 1001]
+    words = ("q" * 1001 + " J̌ İ").encode().decode()
+    assert list(memoryview(word_encoder(path)(words)).cast("I")) == library_tokenizer(path).encode(words, add_special_tokens=False).ids

@@ -107,21 +107,22 @@ def byte_level_units(text: str) -> list[str]:
 
 
 def _with_added(path: str, plain):
-    """A function from a text to its ids as little-endian unsigned 32-bit integers, where `plain` gives the
-    ids of a part that holds no added token."""
+    """A function from a text to its ids as little-endian unsigned 32-bit integers, where `plain` gives those
+    of a part that holds no added token."""
     added = added_tokens(path)
     if not added:
-        return lambda text: array("I", plain(text)).tobytes()
+        return plain
     # The leftmost, and of several there the longest.
     cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
 
     def encode(text: str) -> bytes:
         first, *rest = cuts.split(text)
-        ids = array("I", plain(first))
+        if not rest:
+            return plain(first)
+        ids = [plain(first)]
         for name, part in zip(rest[::2], rest[1::2]):
-            ids.append(added[name])
-            ids.extend(plain(part))
-        return ids.tobytes()
+            ids += (array("I", [added[name]]).tobytes(), plain(part))
+        return b"".join(ids)
 
     return encode
 
@@ -130,7 +131,7 @@ def _with_added(path: str, plain):
 def byte_level_encoder(path: str):
     """Ids of texts by a file of ranks or a byte-level tokenizer file."""
     encoding = rank_encoding(path)
-    return _with_added(path, lambda text: rank_ids(encoding, text))
+    return _with_added(path, lambda text: array("I", rank_ids(encoding, text)).tobytes())
 
 
 # What a file of word pieces must say of its texts to be read as ranks (fixed values of the file format).
@@ -150,6 +151,8 @@ _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]
 _SETTLED = re.compile("[\0-\u0557\u2010-\u206f\u3040-\u3096\u4e00-\u9fa5\uac00-\ud7a3]*")
 # Merging a word takes time by its square; the library's does not.
 _LONGEST_WORD = 1000
+# Pieces of texts that a worker keeps with their ids, at most about 200 MB.
+_KEPT_PIECES, _KEPT_BYTES = 1_000_000, 64
 
 
 @cache
@@ -186,6 +189,34 @@ def word_rank_encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(os.path.basename(path), pat_str="[^A]+A", mergeable_ranks=ranks, special_tokens={})
 
 
+class _LongWord(Exception):
+    """A word of more than `_LONGEST_WORD` characters."""
+
+
+class _Pieces(dict):
+    """The ids, as bytes, of what stands between ASCII white space in a composed and lower-cased text.
+
+    A word never goes over white space, so a piece has the same ids wherever it stands. Pieces are kept up
+    to a number and a length; any other is encoded again.
+    """
+
+    def __init__(self, encoding: tiktoken.Encoding) -> None:
+        super().__init__()
+        self.encoding = encoding
+
+    def __missing__(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        words = [text] if piece.isalpha() else _ASCII_WORDS.findall(text) if piece.isascii() else _WORDS.findall(text)
+        if not words:
+            return b""
+        if len(piece) > _LONGEST_WORD and max(map(len, words)) > _LONGEST_WORD:
+            raise _LongWord
+        ids = array("I", self.encoding.encode_ordinary(_MARK.join(words) + _MARK)).tobytes()
+        if len(piece) <= _KEPT_BYTES and len(self) < _KEPT_PIECES:
+            self[piece] = ids
+        return ids
+
+
 @cache
 def word_encoder(path: str):
     """Ids of texts by a file of word pieces, as little-endian unsigned 32-bit integers.
@@ -193,21 +224,22 @@ def word_encoder(path: str):
     A text with characters whose class newer Unicode versions may have changed, or with a very long word,
     goes to the library as a whole.
     """
-    encoding, library = word_rank_encoding(path), library_tokenizer(path)
+    library, ids_of = library_tokenizer(path), _Pieces(word_rank_encoding(path)).__getitem__
 
-    def plain(text: str) -> list[int]:
+    def plain(text: str) -> bytes:
         if text.isascii():
-            words = _ASCII_WORDS.findall(text.lower())
+            lower = text.lower()
         elif _SETTLED.fullmatch(text):
             # The library lower-cases characters one by one, a sigma at the end of a word as any other.
-            composed = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
-            words = _WORDS.findall(composed.lower())
+            lower = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
         else:
-            return library.encode(text, add_special_tokens=False).ids
-        if not words:
-            return []
-        if max(map(len, words)) > _LONGEST_WORD:
-            return library.encode(text, add_special_tokens=False).ids
-        return encoding.encode_ordinary(_MARK.join(words) + _MARK)
+            lower = None
+        if lower is not None:
+            try:
+                # Bytes are split at ASCII white space only.
+                return b"".join(map(ids_of, lower.encode().split()))
+            except _LongWord:
+                pass
+        return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
 
     return _with_added(path, plain)
