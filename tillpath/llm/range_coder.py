@@ -252,7 +252,9 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         own = slice(lane, lane + int(lanes.per_block[block]))
         table = slice(first[block], first[block] + kinds[block])
         parts = [weights[block], *(column[own] for column in by_lane), *(column[table] for column in by_id)]
-        packed = zlib.compress(b"".join(part.tobytes() for part in parts), 1)
+        # Bytes of such tables hardly repeat but in runs of zeros.
+        pack = zlib.compressobj(strategy=zlib.Z_RLE)
+        packed = pack.compress(b"".join(part.tobytes() for part in parts)) + pack.flush()
         total, crc = int(used[own].sum()), zlib.crc32(np.asarray(ids_of).astype("<u4").tobytes())
         head = _HEAD.pack(_MAGIC, int(sizes[block]), crc, len(packed), total)
         out.append(head + packed + rows[word : word + total].tobytes())
