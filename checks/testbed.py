@@ -29,14 +29,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines with their orders. Both grow with the data, so neither side is broadcast."""
-    return _with_invoice(table(spark, folder, "lineitem").join(
+    return _with_invoice(_flagged(spark, folder).join(
         table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     ))
 
 
+def _flagged(spark: SparkSession, folder: str) -> DataFrame:
+    """The order lines; where they are moved, the flag is one bit and not a text."""
+    return table(spark, folder, "lineitem").withColumn("is_return", F.col("l_returnflag") == "R")
+
+
 def _with_invoice(lines: DataFrame) -> DataFrame:
     order = F.col("l_orderkey").cast("string")
-    return lines.withColumn("is_return", F.col("l_returnflag") == "R").withColumn(
+    return lines.withColumn(
         "invoice_no", F.when(F.col("is_return"), F.concat(F.lit("C"), order)).otherwise(order)
     )
 
@@ -134,7 +139,7 @@ def raw_parts(spark: SparkSession, folder: str) -> list[DataFrame]:
         table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
     lines = _with_invoice(
-        table(spark, folder, "lineitem")
+        _flagged(spark, folder)
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     )

@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tests.conftest import rows
 from tillpath import schemas
@@ -161,3 +162,44 @@ def test_prices_below_a_cent_are_rounded_after_the_product(spark):
 
     lines = spark.createDataFrame([(982, 0.004), (100, 0.015), (3, 2.5)], "quantity int, price double")
     assert sorted(str(r.total_amount) for r in add_total(lines).collect()) == ["1.50", "3.93", "7.50"]
+
+
+def test_only_lines_that_may_have_a_copy_are_merged(spark, monkeypatch):
+    merged = []
+    drop = cleaning.drop_duplicates
+
+    def recorded(df, **options):
+        merged.append(df.count())
+        return drop(df, **options)
+
+    monkeypatch.setattr(cleaning, "drop_duplicates", recorded)
+    lines = [line(str(i)) for i in range(300)] + [line("7"), line("7 "), line("C9"), line("C9"), line(None), line(None)]
+    raw = spark.createDataFrame([(*x, i) for i, x in enumerate(lines)], T.StructType([*schemas.RAW.fields, T.StructField("at", T.LongType())]))
+    got = cleaning.clean_transactions(raw.repartition(5), position="at")
+    # Three of line 7 and two each of the others, and hardly a line that has its class by chance.
+    assert len(merged) == 1 and 7 <= merged[0] < 20
+    assert got.report.first()["initial_rows"] == 306 and got.report.first()["final_rows"] == 302
+    assert rows(got.lines, "at") == sorted(((i,) for i in [*range(300), 302, 304]), key=repr)
+
+
+def test_lines_that_share_their_class_are_kept_apart(spark, clean, monkeypatch):
+    # Two words of 64 classes for 400 lines, in two blocks.
+    monkeypatch.setattr(cleaning, "_CLASS_BITS", 7)
+    monkeypatch.setattr(cleaning, "_WORDS", 1)
+    got = clean([line(str(i % 400), price=0.5) for i in range(500)]).lines
+    assert rows(got, "invoice") == sorted(((str(i),) for i in range(400)), key=repr)
+
+
+def test_classes_of_copies(spark):
+    def floats(*values):
+        return spark.createDataFrame([(v, None) for v in values], "x double, y string")
+
+    def marked(lines):
+        bits = cleaning.copied_classes(lines, ["x", "y"]).collect()
+        return {r["_block"] * 32768 + 64 * i + b for r in bits for i, w in enumerate(r["_words"]) for b in range(64) if w >> b & 1}
+
+    classes = floats(0.0, 1.0).select(cleaning._class(cleaning._hash(["x", "y"]))).collect()
+    zero, one = (r[0] for r in classes)
+    assert marked(floats(0.0, 1.0, 2.0)) == set()
+    assert marked(floats(0.0, -0.0, 1.0)) == {zero}
+    assert marked(floats(1.0, 0.0, 1.0, 0.0, 1.0)) == {zero, one}

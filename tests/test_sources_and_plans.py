@@ -18,7 +18,7 @@ from tillpath.plans.report import build_report, run_report, write_report
 from tillpath.plans.segmentation import run_segmentation
 from tillpath.operators.series import monthly_series
 from tillpath.operators.orders import with_calendar
-from tillpath.session import cut, scope, settled, shared_folder, stage
+from tillpath.session import _FREE_SHUFFLES, cut, scope, settled, shared_folder, stage
 from tillpath.sources import feeds, reports, tables
 
 HEADER = list(RAW_TO_CLEAN)
@@ -297,3 +297,18 @@ def test_run_report_writes_and_cleans_up(spark, tmp_path, make_star):
     run_report(star, "France", str(tmp_path / "report"))
     assert folders(spark) == before
     assert {"summary", "revenue_trends", "churn_tests"} <= set(os.listdir(tmp_path / "report"))
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+    before = shuffles()
+    with scope(spark):
+        counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+        staged = stage(counted, "counted")
+        assert shuffles() <= before
+        assert all(".zstd." in f for f in staged.inputFiles())
+        # The frame itself can still be computed.
+        assert rows(staged) == rows(counted) and spark.conf.get(_FREE_SHUFFLES) == "false"

@@ -161,6 +161,51 @@ def test_raw_feed_joins_orders_and_customers_before_the_lines(spark, tmp_path):
         assert "p_partkey" in joins[0] and "o_custkey" in joins[-1]
 
 
+def test_order_lines_are_moved_without_the_text_of_the_flag(spark, tmp_path):
+    moment = dt.datetime(1998, 1, 15)
+    made = {
+        "customer": ([(1, 0)], "c_custkey long, c_nationkey int"),
+        "orders": ([(5, 1, moment)], "o_orderkey long, o_custkey long, o_orderdate timestamp"),
+        "part": ([(3, "red ring")], "p_partkey long, p_name string"),
+        "lineitem": (
+            [(5, 3, 1.0, 2.0, "N"), (5, 3, 1.0, 2.0, "R"), (5, 3, 1.0, 2.0, None)],
+            "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string",
+        ),
+    }
+    for name, (data, kind) in made.items():
+        spark.createDataFrame(data, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    feed = testbed.raw_parts(spark, str(tmp_path))[0]
+    assert sorted((r["Invoice"], r["Quantity"]) for r in feed.collect()) == [("5", 1), ("5", 1), ("C5", -1)]
+    plan = feed._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, x in enumerate(plan) if "Join" in x]
+    assert all(i > joins[1] for i, x in enumerate(plan) if "l_returnflag" in x)
+
+
+def test_of_customers_computes_no_more_than_their_numbers(spark):
+    sold = spark.createDataFrame([("1", 7), ("2", 8)], "invoice string, customer_id long")
+    fails = F.raise_error(F.concat(F.lit("computed for "), "customer_id")).cast("string")
+    customers = star.with_region(sold.groupBy("customer_id").agg(F.max(fails).alias("country")))
+    assert sorted(r["invoice"] for r in star.of_customers(sold, customers).collect()) == ["1", "2"]
+
+
+def test_lines_are_moved_without_what_follows_from_other_columns(lines, monkeypatch):
+    staged = []
+    monkeypatch.setattr(star, "stage", lambda df, name: staged.append(df) or df)
+    star.build_star(lines).fact.collect()
+    (placed,) = staged
+    plan = placed._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = [i for i, x in enumerate(plan) if "Exchange hashpartitioning(date_id" in x]
+    joined = [i for i, x in enumerate(plan) if "Join" in x and "stock_code" in x]
+    # One move by day and bucket, with neither the bucket nor the price before it is rounded.
+    assert len(moved) == 1 and joined[0] > moved[0]
+    assert not any("_bucket" in x for x in plan[moved[0] + 1:])
+    columns = plan[moved[0] + 1]
+    assert "Project" in columns and "unit_price" in columns
+    # The lines meet the products before the calendar.
+    joins = [x for x in placed._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert "full_date" in joins[0] and "stock_code" in joins[1]
+
+
 def test_validation_finds_planted_faults(lines):
     built = star.build_star(lines)
     expected = {"dim_dates": 4, "dim_products": 3, "dim_customers": 3, "fact_transactions": 5}

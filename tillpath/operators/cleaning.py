@@ -43,6 +43,53 @@ def drop_duplicates(df: DataFrame, *, position: str | None = None, copies: str |
     return df.groupBy(*fields).agg(*kept, *counted)
 
 
+# Lines fall into this many classes by hash, told apart by bits in words of 64, `_WORDS` words a row: 4,096 rows, 16 MB.
+_CLASS_BITS = 27
+_WORDS = 512
+
+
+def _hash(fields: list[str]) -> Column:
+    return F.xxhash64(*fields)
+
+
+def _class(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit((1 << _CLASS_BITS) - 1)).cast("int")
+
+
+def _block_word_bit(number: Column) -> tuple[Column, Column, Column]:
+    word = F.shiftright(number, 6)
+    return (word / _WORDS).cast("int"), word % _WORDS, number.bitwiseAND(F.lit(63))
+
+
+def copied_classes(lines: DataFrame, fields: list[str]) -> DataFrame:
+    """The classes of all lines that have a copy, as bits: `_block` and its `_words`.
+
+    Equal lines have equal hashes, so a line whose hash no other line has is no copy, and only hashes
+    are shuffled to find that out. Marked are the classes of the other hashes, so that the marks have a bounded size
+    however many copies there are; a marked class may hold lines without a copy as well.
+    """
+    # Spread before they are counted: nearly all differ, so counting them where they are would merge none.
+    hashes = lines.select(_hash(fields).alias("_hash")).repartition("_hash")
+    found = hashes.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    block, word, bit = _block_word_bit(_class(F.col("_hash")))
+    placed = found.select(block.alias("_block"), word.alias("_word"), bit.alias("_bit"))
+    words = placed.groupBy("_block", "_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    blocks = words.groupBy("_block").agg(
+        F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_found")
+    )
+    every = F.sequence(F.lit(0), F.lit(_WORDS - 1))
+    bits = F.transform(every, lambda i: F.coalesce(F.element_at("_found", i), F.lit(0).cast("long")))
+    return blocks.select("_block", bits.alias("_words"))
+
+
+def _in_classes(lines: DataFrame, classes: DataFrame, *, inside: bool = True) -> DataFrame:
+    """The lines whose `_class` is one of `classes`, or those of all others."""
+    block, word, bit = _block_word_bit(F.col("_class"))
+    marked = F.coalesce(F.getbit(F.get("_words", word), bit) == 1, F.lit(False))
+    placed = lines.withColumn("_block", block).join(F.broadcast(classes), "_block", "left")
+    return placed.where(marked if inside else ~marked).drop("_block", "_words")
+
+
 def flag_returns(df: DataFrame) -> DataFrame:
     return df.withColumn("is_return", is_return_invoice(F.col("invoice")))
 
@@ -193,15 +240,22 @@ def clean_transactions(
 ) -> Cleaned:
     """The whole chain.
 
-    The distinct lines are the one expensive intermediate (a shuffle of full rows), and the
-    percentiles, the report and every table built later read them; so they are staged once.
+    The stripped lines are staged once, with the flags that follow from their fields: the search for copies,
+    the percentiles, the report and every table built later read them. Lines that may have a copy, and
+    only these, are shuffled to merge them; those that have none stay where they were staged.
     """
-    named = strip_strings(rename_columns(raw))
     extra = [position] if position else []
-    distinct_lines = drop_duplicates(
-        named.select(*_FIELDS, *extra), position=position, copies="copies"
-    )
-    flagged = stage(flag_rejects(flag_returns(distinct_lines), settings), "distinct-lines")
+    named = strip_strings(rename_columns(raw)).select(*_FIELDS, *extra)
+
+    def flag(lines: DataFrame) -> DataFrame:
+        return flag_rejects(flag_returns(lines), settings)
+
+    feed = stage(flag(named).withColumn("_class", _class(_hash(_FIELDS))), "feed-lines")
+    classes = cut(copied_classes(feed, _FIELDS))
+    single = _in_classes(feed, classes, inside=False).withColumn("copies", F.lit(1).cast("long"))
+    others = _in_classes(feed, classes).select(*_FIELDS, *extra)
+    merged = stage(flag(drop_duplicates(others, position=position, copies="copies")), "merged-lines")
+    flagged = single.drop("_class").unionByName(merged)
     kept = flagged.where(F.col("rejected_by").isNull())
     bounds = cut(quantity_bounds(kept, settings))
     columns = [*_FIELDS, "is_return", "total_amount", *extra]

@@ -135,10 +135,11 @@ def number_lines(
     """
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content]
     digest = F.md5(F.concat_ws("|", *texts))
-    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(buckets)
-    keyed = lines.select(
-        *(keep or lines.columns), F.unhex(digest).alias("_digest"), bucket.cast("int").alias("_bucket")
-    )
+    bucket = F.conv(F.hex(F.substring("_digest", 1, 4)), 16, 10).cast("long") % F.lit(buckets)
+    bucket = bucket.cast("int")
+    keyed = lines.select(*(keep or lines.columns), F.unhex(digest).alias("_digest"))
+    # The bucket follows from the digest, so the lines are moved without it.
+    keyed = keyed.repartition("date_id", bucket).withColumn("_bucket", bucket)
     inside = Window.partitionBy("date_id", "_bucket").orderBy("_digest")
     placed = stage(keyed.withColumn("_place", F.row_number().over(inside)).drop("_digest"), "placed-lines")
     sizes = placed.groupBy("date_id", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
@@ -164,7 +165,8 @@ def of_customers(lines: DataFrame, customers: DataFrame, *, most: int = _STRANGE
     the distinct numbers are shuffled to find those, and their lines are dropped by a broadcast; where
     more than `most` are missing the lines are shuffled.
     """
-    numbers = customers.select("customer_id")
+    # Only whether a customer is there counts: without copies nothing else of the dimension is computed.
+    numbers = customers.select("customer_id").distinct()
     known = lines.where(F.col("customer_id").isNotNull())
     strangers = cut(known.select("customer_id").distinct().join(numbers, "customer_id", "left_anti"))
     if strangers.count() <= most:
@@ -188,15 +190,18 @@ def fact_transactions(
     few (see `of_customers`, which reads `lines` once more). Products grow with the data: their join is
     left to size statistics and adaptive execution.
     """
-    known = of_customers(lines, customers).withColumn("full_date", F.to_date("invoice_date"))
-    keyed = known.join(F.broadcast(dates.select("full_date", "date_id")), "full_date").join(
-        products.select("stock_code", "product_id"), "stock_code"
+    sold = of_customers(lines, customers).join(products.select("stock_code", "product_id"), "stock_code")
+    # What follows from other columns is added after the lines were moved.
+    keyed = (
+        sold.withColumn("full_date", F.to_date("invoice_date"))
+        .join(F.broadcast(dates.select("full_date", "date_id")), "full_date")
+        .withColumn("unit_price", F.col("price").cast("decimal(10,2)"))
     )
     # The raw columns that the fact drops still help to tell lines apart when spreading them.
     numbered = number_lines(
         keyed,
         [c for c in CLEANED.names if c in keyed.columns],
-        keep=["date_id", "invoice", "customer_id", "product_id", "quantity", "price", "total_amount", "is_return"],
+        keep=["date_id", "invoice", "customer_id", "product_id", "quantity", "unit_price", "total_amount", "is_return"],
         buckets=buckets,
     )
     return numbered.select(
@@ -206,7 +211,7 @@ def fact_transactions(
         "product_id",
         "date_id",
         "quantity",
-        F.col("price").cast("decimal(10,2)").alias("unit_price"),
+        "unit_price",
         "total_amount",
         "is_return",
     )
