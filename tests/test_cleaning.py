@@ -190,7 +190,10 @@ def test_lines_that_share_their_class_are_kept_apart(spark, clean, monkeypatch):
     assert rows(got, "invoice") == sorted(((str(i),) for i in range(400)), key=repr)
 
 
-def test_classes_of_copies(spark):
+@pytest.mark.parametrize("hashes", [1, 500_000])
+def test_classes_of_copies(spark, monkeypatch, hashes):
+    monkeypatch.setattr(cleaning, "_HASHES", hashes)
+
     def floats(*values):
         return spark.createDataFrame([(v, None) for v in values], "x double, y string")
 
@@ -203,3 +206,6 @@ def test_classes_of_copies(spark):
     assert marked(floats(0.0, 1.0, 2.0)) == set()
     assert marked(floats(0.0, -0.0, 1.0)) == {zero}
     assert marked(floats(1.0, 0.0, 1.0, 0.0, 1.0)) == {zero, one}
+    # Six tasks count five lines that are taken one a task.
+    plan = cleaning.copied_classes(floats(0.0, 1.0, 2.0, 3.0, 4.0), ["x", "y"])._jdf.queryExecution().optimizedPlan().toString()
+    assert ("RepartitionByExpression [_hash" in plan) and (f", {1 + 5 // hashes}" in plan)

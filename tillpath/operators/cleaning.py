@@ -46,6 +46,8 @@ def drop_duplicates(df: DataFrame, *, position: str | None = None, copies: str |
 # Lines fall into this many classes by hash, told apart by bits in words of 64, `_WORDS` words a row: 4,096 rows, 16 MB.
 _CLASS_BITS = 27
 _WORDS = 512
+# About so many hashes are counted by a task.
+_HASHES = 500_000
 
 
 def _hash(fields: list[str]) -> Column:
@@ -69,7 +71,9 @@ def copied_classes(lines: DataFrame, fields: list[str]) -> DataFrame:
     however many copies there are; a marked class may hold lines without a copy as well.
     """
     # Spread before they are counted: nearly all differ, so counting them where they are would merge none.
-    hashes = lines.select(_hash(fields).alias("_hash")).repartition("_hash")
+    # They are short, so adaptive execution would put too many into a task for their counts to fit its memory.
+    tasks = 1 + lines.count() // _HASHES
+    hashes = lines.select(_hash(fields).alias("_hash")).repartition(tasks, "_hash")
     found = hashes.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     block, word, bit = _block_word_bit(_class(F.col("_hash")))
     placed = found.select(block.alias("_block"), word.alias("_word"), bit.alias("_bit"))
